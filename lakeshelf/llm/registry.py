@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lakeshelf.llm import exact_dedup, language_id
+from lakeshelf.llm import exact_dedup, language_id, pii
 from lakeshelf.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
+#: Of the registered query only; a real job passes its own secret.
+PSEUDONYM_KEY = "registered-query"
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -21,5 +24,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {"op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+QUERIES = {"op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
