@@ -33,7 +33,8 @@ def heavy_candidates(rows: DataFrame, most: int = MOST_HEAVY, counters: int = CO
     """(digest_key): at most `most` 64-bit keys that the merged Misra-Gries sketches estimate at `least` rows or more."""
     parts = rows.select(F.xxhash64("digest").alias("k"), (F.spark_partition_id() % 64).alias("part"))
     sketches = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(k, {counters})").alias("s"))
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
+    # a grouped aggregate: Spark's combine fails on the empty buffer that a global one takes from an empty partition
+    merged = sketches.groupBy(F.col("part") < 0).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
     top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {most})")).alias("top"))
     return top.where(F.col("top.count") >= least).select(F.col("top.item").alias("digest_key"))
 
