@@ -8,7 +8,7 @@ ordinary shuffle. Whether a digest is proposed changes the route of its rows onl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeshelf.llm.common import keyed_text, stored
@@ -18,12 +18,17 @@ MOST_HEAVY, COUNTERS, LEAST_ROWS = 1000, 8192, 64
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 (binary) of a text without ASCII white space."""
+    return F.unhex(F.sha2(F.translate(text, SPACE, "").cast("binary"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n_chars, row_no): SHA-256 of the text without ASCII white space, and the text's code points."""
+    """(doc_id, digest, n_chars, row_no); n_chars in code points of the whole text."""
     rows = keyed_text(docs, id_col, text_col)
     return rows.select(
         "doc_id",
-        F.unhex(F.sha2(F.translate("text", SPACE, "").cast("binary"), 256)).alias("digest"),
+        digest(F.col("text")).alias("digest"),
         F.char_length("text").alias("n_chars"),
         F.monotonically_increasing_id().alias("row_no"),
     )

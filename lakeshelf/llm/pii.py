@@ -148,6 +148,15 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
+def pseudonymised(text: Column, key: str) -> Column:
+    """The text with every valid match under its pseudonym; null stays null."""
+    return F.when(_some(text), replaced(text, ANY, lambda m: pseudonym(m, key))).otherwise(text)
+
+
+def _some(text: Column) -> Column:
+    return text.rlike(r"[@\d]") & text.rlike(ANY)
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text (pseudonymised; null stays null), n_found, found array<struct<kind, start, end, value>>.
 
@@ -158,7 +167,6 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    some = text.rlike(r"[@\d]") & text.rlike(ANY)
     found = F.filter(
         F.transform(spans(text, ANY), lambda m: F.struct(kind_of(m["value"]).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))),
         lambda m: m["kind"].isNotNull(),
@@ -166,6 +174,6 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     return rows.select(
         "doc_id",
-        F.when(some, replaced(text, ANY, lambda m: pseudonym(m, key))).otherwise(text).alias("text"),
-        F.when(some, found).otherwise(none).alias("found"),
+        pseudonymised(text, key).alias("text"),
+        F.when(_some(text), found).otherwise(none).alias("found"),
     ).select("doc_id", "text", F.size("found").cast("long").alias("n_found"), "found")
