@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lakeshelf.llm import exact_dedup, language_id, ngram_join, packing, pii
+from lakeshelf.llm import exact_dedup, language_id, ngram_join, packing, pieces, pii
 from lakeshelf.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,5 +36,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), PIECES))
+
+
+QUERIES = {"op8_pieces": op8_pieces, "op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
