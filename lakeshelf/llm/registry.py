@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lakeshelf.llm import exact_dedup, flac, html_extract, language_id, ngram_join, packing, pieces, pii
+from lakeshelf.llm import exact_dedup, flac, html_extract, language_id, ngram_join, packing, pieces, pii, quality
 from lakeshelf.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,5 +48,9 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op6_html_extract": op6_html_extract, "op3_media": op3_media, "op8_pieces": op8_pieces, "op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op10_quality": op10_quality, "op6_html_extract": op6_html_extract, "op3_media": op3_media, "op8_pieces": op8_pieces, "op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
