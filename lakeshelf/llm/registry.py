@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lakeshelf.llm import exact_dedup, flac, html_extract, language_id, ngram_join, packing, pieces, pii, quality
+from lakeshelf.llm import exact_dedup, flac, html_extract, language_id, ngram_join, packing, pieces, pii, quality, secret_scan
 from lakeshelf.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -52,5 +52,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_quality": op10_quality, "op6_html_extract": op6_html_extract, "op3_media": op3_media, "op8_pieces": op8_pieces, "op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op7_secrets": op7_secrets, "op10_quality": op10_quality, "op6_html_extract": op6_html_extract, "op3_media": op3_media, "op8_pieces": op8_pieces, "op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
+ORACLE_SQL = {"op7_secrets": secret_scan.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -11,21 +11,23 @@ def gaps_and_matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start long, end long, value string>> of a pattern's matches; code points, end exclusive."""
+def spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<start long, end long, value string, part string>> of a pattern's matches; part is the given group.
+
+    Positions are code points, end exclusive.
+    """
     gaps, found = gaps_and_matches(text, pattern)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,part:string>>")
     start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
 
     def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.char_length(pair["gap"])
-        end = begin + F.char_length(pair["value"])
-        return F.struct(
-            end.cast("long").alias("at"),
-            F.concat(state["found"], F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), pair["value"].alias("value")))).alias("found"),
-        )
-
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
+        begin = (state["at"] + F.char_length(pair["gap"])).cast("long")
+        end = (begin + F.char_length(pair["value"])).cast("long")
+        new = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"), pair["part"].alias("part"))
+        return F.struct(end.alias("at"), F.concat(state["found"], F.array(new)).alias("found"))
+
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value"), parts.alias("part")), lambda p: p["value"].isNotNull())
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda state: state["found"])).otherwise(empty)
 
 
