@@ -1,4 +1,5 @@
-"""Queries over the catalogue views, each with the SQL that gives the same rows."""
+"""All queries of the catalogue with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from lakeshelf.plans.catalogue import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
