@@ -209,7 +209,10 @@ def stream(media: bytes) -> tuple[int, int, bytes, list[tuple[int, int, int]]]:
     if not seek and packed & 0xFFFFFFFFF:
         raise Corrupt("no seek table")
     points = [(s, at + o, n) for s, o, n in seek or () if s != (1 << 64) - 1]
-    return int.from_bytes(info[2:4], "big"), packed & 0xFFFFFFFFF, info[18:34], points
+    block, total = int.from_bytes(info[2:4], "big"), packed & 0xFFFFFFFFF
+    if any(o >= len(media) for _, o, _ in points) or [(s, n) for s, _, n in points] != [(s, min(block, total - s)) for s in range(0, total, max(1, block))]:
+        raise Corrupt("the seek table doesn't list the file's frames")
+    return block, total, info[18:34], points
 
 
 def residuals(bits: Bits, at: np.ndarray, sizes: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -146,7 +146,7 @@ def main_text(page: str) -> str:
     parents = {p[:-1] for p in content}
     chosen = []
     for path, other, _, text, links in found:
-        beside = len(path) > 1 and any(path[: len(p)] == p and len(p) > 2 for p in parents) or path[:-1] in parents and path[-1].split(".")[0] in HEADINGS
+        beside = len(path) > 1 and any(path[: len(p)] == p and len(p) > 2 for p in parents) or bool(path) and path[:-1] in parents and path[-1].split(".")[0] in HEADINGS
         if not other and (path in content or beside) and not linked_only(path, text, links):
             chosen.append(text)
     return "\n\n".join(chosen)

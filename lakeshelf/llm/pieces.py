@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lakeshelf.llm.common import keyed_text, ship_package
 
 SPACE = "▁"
-MOST_CUTS = 300_000  # that a worker remembers
+MOST_CUTS = 100_000  # that a worker remembers
 
 
 class CharacterMap:
@@ -150,7 +150,7 @@ class PieceCodec:
         ids = np.array(self.model.encode(text), np.int64)
         lengths = self.lengths[ids].astype(np.int64)
         if lengths.sum() != len(normal.encode()):  # pieces without a fixed text: take their surfaces from the library
-            pieces = self.model.encode(text, out_type="immutable_proto").pieces
+            pieces = self.model.encode(text, return_type="proto").pieces
             lengths = np.array([len(p.piece.encode()) for p in pieces], np.int64)
         ends = source[np.minimum(np.cumsum(lengths), len(source) - 1)] if len(ids) else np.zeros(0, np.int64)
         return self.framed(ids, ends, len(text.encode()))

@@ -207,7 +207,7 @@ def test_longest_prefix_of_a_character_map():
     normal = pieces.Normaliser(proto.normalizer_spec)
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     text, source = normal.normalised("a  b é")
-    assert text == "".join(p.piece for p in model.encode("a  b é", out_type="immutable_proto").pieces)
+    assert text == "".join(p.piece for p in model.encode("a  b é", return_type="proto").pieces)
     assert len(source) == len(text.encode()) + 1 and (np.diff(source) >= 0).all()
 
 
