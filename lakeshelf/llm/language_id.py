@@ -21,7 +21,7 @@ from lakeshelf.llm.common import held_out, keyed_text, ship_package, stored
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN, SMOOTHING, LONGEST_RUN = 1e-9, 100.0, 48
 #: Bounds: documents to learn from (expected), languages of a model, words that a worker remembers.
-TRAIN_DOCS, MOST_LANGUAGES, MOST_WORDS = 4000, 512, 400_000
+TRAIN_DOCS, MOST_LANGUAGES, MOST_WORDS = 4000, 512, 150_000
 NO_LANGUAGE = "und"
 
 

@@ -24,7 +24,7 @@ from lakeshelf.llm.common import keyed_text, ship_package, stored
 LENGTH, END_ID = 2048, 1
 BUCKETS, DIMENSIONS, BITS, SEED = 256, 4, 12, 7
 #: Entries that a worker's caches hold before they start anew.
-MOST_CHUNKS, MOST_WORDS = 300_000, 400_000
+MOST_CHUNKS, MOST_WORDS = 100_000, 100_000
 
 
 class WordTokenizer:
@@ -168,7 +168,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     width = WordTokenizer(tokenizer_path).kind
 
     def cut(batches):
-        for batch in batches:
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             out = []
             for doc_id, n, ids, at in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "ids", "at")), strict=True):
                 wide = np.frombuffer(ids, width).astype("<u4")
@@ -176,9 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 for a, b in zip(edges, edges[1:], strict=False):
                     piece = wide[a:b].tobytes()
                     out.append((doc_id, a, b - a, zlib.crc32(piece), n, (at + a) // length, (at + a) % length, piece))
-            if out:
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
 
     ship_package(docs.sparkSession)
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
