@@ -72,8 +72,8 @@ class Lattice:
                 part = marked[at : at + LONGEST_RUN]
                 groups.setdefault(len(part), []).append((k, part))
         for n, members in groups.items():
-            for at in range(0, len(members), 20_000):
-                block = members[at : at + 20_000]
+            for at in range(0, len(members), 4_000):
+                block = members[at : at + 4_000]
                 parts = [p for _, p in block]
                 last = self.forward(self.ids(parts, n), n, len(parts))[n]
                 np.add.at(out, np.array([k for k, _ in block]), np.log(np.maximum(last, 1e-300)))
