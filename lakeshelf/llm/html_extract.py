@@ -3,8 +3,8 @@
 Every block of text has a path: the block-level tags from the root down to it, with their classes. Per path the text's
 length and punctuation per block are aggregated, damped by the share of link text, smoothed along the page, fused, and
 thresholded; paths above the threshold are content. Containers that name themselves as something else (menus, adverts,
-reader comments, forms and so on) are never content, and a container that names itself the article takes in its short
-blocks too, as does the parent of the content paths.
+reader comments, forms and so on) are never content. A container that names itself the article only raises the score of
+its paths; if any of them is content, it takes in its short blocks too, as does the parent of the content paths.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ OTHER_WORDS = set(
     "pagination paging toolbar skip copyright legal disclaimer paywall teaser trending popular tags hidden".split()
 )
 ARTICLE_WORDS = set("article articlebody content main post story entry".split())
+#: The factor by which an article's name raises the fused score of a path.
+RAISED = 2.0
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 KERNEL = np.exp(-0.5 * (np.arange(-1, 2) / 0.6) ** 2)
 
@@ -54,10 +56,10 @@ def words_of(rest: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()) if w]
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
-    """(path, other, article, text, link characters) of each block with text, in page order."""
-    out, parts, links = [], [], 0
-    open_tags: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, label, inside other, inside the article
+def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, str, int]]:
+    """(path, other, number of the outermost article container or 0, text, link characters) of each block with text, in page order."""
+    out, parts, links, articles = [], [], 0, 0
+    open_tags: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, label, inside other, inside which article
     in_link, at = 0, 0
 
     def flush() -> None:
@@ -120,8 +122,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
             named_article = tag in ARTICLE or bool(ARTICLE_WORDS.intersection(names))
             other = other or tag in DROPPED or (tag not in ("html", "body") and bool(OTHER_WORDS.intersection(names)) and not (tag in ARTICLE and "comment" not in names and "comments" not in names))
             other = other or tag == "header" and not article
-            article = article or (named_article and tag not in ("html", "body") and tag not in HEADINGS)
-            open_tags.append((tag, ".".join([tag, *names]), other, article and not other))
+            if not article and not other and named_article and tag not in ("html", "body") and tag not in HEADINGS:
+                articles += 1
+                article = articles
+            open_tags.append((tag, ".".join([tag, *names]), other, 0 if other else article))
     flush()
     return out
 
@@ -129,24 +133,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
 def main_text(page: str) -> str:
     found = blocks(page)
     paths: dict[tuple[str, ...], list[float]] = {}
-    for path, other, _, text, links in found:
-        total = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0, float(other)])
+    for path, other, article, text, links in found:
+        total = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0, float(other), float(article > 0)])
         for k, x in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(links, len(text)))):
             total[k] += x
     if not paths:
         return ""
-    n, chars, marks, links, other = np.array(list(paths.values())).T
+    n, chars, marks, links, other, article = np.array(list(paths.values())).T
     open_share = 1 - links / chars
     fused = smoothed(chars / n * open_share) * smoothed((1 + marks) / n * open_share)
     fused[other > 0] = 0
-    content = {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= fused.mean()}
-    if any(article for _, other, article, _, _ in found if not other):
-        chosen = [t for path, other, article, t, links in found if article and not other and not linked_only(path, t, links)]
-        return "\n\n".join(chosen)
+    least = fused.mean()
+    fused[article > 0] *= RAISED  # after the threshold is known, so that no other path falls below it
+    content = {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= least}
+    taken = {article for path, _, article, _, _ in found if article and path in content}
     parents = {p[:-1] for p in content}
     chosen = []
-    for path, other, _, text, links in found:
-        beside = len(path) > 1 and any(path[: len(p)] == p and len(p) > 2 for p in parents) or bool(path) and path[:-1] in parents and path[-1].split(".")[0] in HEADINGS
+    for path, other, article, text, links in found:
+        beside = article in taken or len(path) > 1 and any(path[: len(p)] == p and len(p) > 2 for p in parents) or bool(path) and path[:-1] in parents and path[-1].split(".")[0] in HEADINGS
         if not other and (path in content or beside) and not linked_only(path, text, links):
             chosen.append(text)
     return "\n\n".join(chosen)

@@ -96,6 +96,13 @@ def test_article_is_extracted():
     assert html_extract.main_text(unnamed) == html_extract.main_text(PAGE)
 
 
+def test_article_names_only_raise_scores():
+    page = f"<html><body><div class='post-meta'>By X</div><div class='text'><p>{ARTICLE}</p><p>{ARTICLE}</p></div></body></html>"
+    assert html_extract.main_text(page) == f"{CLEAN}\n\n{CLEAN}"
+    both = page.replace("By X", f"<p>{ARTICLE}</p><ul><li>A short item</li></ul>")
+    assert html_extract.main_text(both) == f"{CLEAN}\n\nA short item\n\n{CLEAN}\n\n{CLEAN}"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>", "</div>", "<!-- a", "<script>a", "&#x110000;&nbsp;", "<a href='", "<div " * 50, "<p>" * 3000, "plain text only"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_extract.main_text(page), str)
