@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,41 +97,75 @@ def numbered_targets(rows: DataFrame, folder: Column, name: Column) -> DataFrame
     return rows.withColumn("target", F.concat(folder, F.lit("/"), name, F.when(F.col("__k") > 1, F.concat(F.lit(" ("), F.col("__k") - 1, F.lit(")"))).otherwise(""))).drop("__folder", "__name", "__k")
 
 
-def token_pairs(old: DataFrame, new: DataFrame, most: int = 2000) -> DataFrame:
-    """(old_id, new_id) of paths that share a telling token: an inverted index instead of all pairs.
+#: Rows of each side that one call compares; they bound its memory, not what is compared.
+OLD_BLOCK, NEW_BLOCK = 1000, 10_000
 
-    A token that more than `most` new paths have is left to the other tokens of a path; if all of a path's tokens are so
-    frequent, its rarest still counts.
+
+def block_matches(old: DataFrame, new: DataFrame, choose) -> DataFrame:
+    """(old_id, new_id, new_path, overlap, off, score) of the pairs with a token in common that choose keeps of each old row and block.
+
+    Every old row meets every new row: both sides are dealt by hash into blocks, each pair of blocks is one call, and in
+    it an inverted index counts the shared tokens, so that pairs never become rows and no token is too frequent.
     """
-    tokens = [d.select(F.col("id").alias(f"{side}_id"), F.explode(text.audit_tokens(F.col("filepath"))).alias("token")) for d, side in ((old, "old"), (new, "new"))]
-    counts = tokens[1].groupBy("token").agg(F.count("*").alias("n"))
-    ranked = tokens[0].join(counts, "token").withColumn("rarest", F.min("n").over(Window.partitionBy("old_id")))
-    chosen = ranked.where((F.col("n") <= most) | (F.col("n") == F.col("rarest"))).select("old_id", "token")
-    return chosen.join(tokens[1], "token").select("old_id", "new_id").distinct()
+
+    def side(rows: DataFrame, name: str, size: int, other: DataFrame, other_size: int) -> DataFrame:
+        rows = rows.where("filepath IS NOT NULL").select("id", F.col("filepath").alias("path"), F.col("filesize_bytes").cast("double").alias("size"), text.extension(F.col("filepath")).alias("ext"), text.audit_tokens(F.col("filepath")).alias("tokens"))
+        mine, theirs = (-(-d.count() // n) or 1 for d, n in ((rows, size), (other, other_size)))
+        own = F.pmod(F.xxhash64("id", "path"), F.lit(mine)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(theirs - 1)))
+        o, n = (own, every) if name == "old" else (every, own)
+        return rows.select("*", o.alias("o")).select("*", n.alias("n")).where(F.size("tokens") > 0)
+
+    def compare(both: pd.DataFrame) -> pd.DataFrame:
+        o, n = both[both["old"]], both[~both["old"]]
+        n = n.sort_values(["path", "id"]).reset_index(drop=True)  # so that equal scores are in order of path and id
+        ids, paths, sizes, kinds = (n[c].to_numpy() for c in ("id", "path", "size", "ext"))
+        at: dict[str, list[int]] = {}
+        for k, tokens in enumerate(n["tokens"]):
+            for t in tokens:
+                at.setdefault(t, []).append(k)
+        index = {t: np.array(k) for t, k in at.items()}
+        same_kind = {x: kinds == x for x in set(kinds)}
+        none, out = np.zeros(len(n), bool), []
+        for old_id, path, size, kind, tokens in zip(o["id"], o["path"], o["size"], o["ext"], o["tokens"], strict=True):
+            shared = np.zeros(len(n))
+            for t in tokens:
+                if t in index:
+                    shared[index[t]] += 1
+            some = np.flatnonzero(shared)
+            some = some[paths[some] != path]
+            overlap, same = shared[some] / len(tokens), same_kind.get(kind, none)[some]
+            off = np.abs(size - sizes[some]) / size if size > 0 else np.full(len(some), np.nan)
+            score = 0.6 * overlap + 0.3 * np.maximum(0.0, 1 - np.where(np.isnan(off), 1.0, off)) + np.where(same, 0.1, 0.0)
+            kept = choose(ids[some], overlap, off, same, score)
+            if len(kept):
+                best = some[kept]
+                out.append(pd.DataFrame({"old_id": old_id, "new_id": ids[best], "new_path": paths[best], "overlap": overlap[kept], "off": off[kept], "score": score[kept]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["old_id", "new_id", "new_path", "overlap", "off", "score"])
+
+    sides = side(old, "old", OLD_BLOCK, new, NEW_BLOCK).withColumn("old", F.lit(True)), side(new, "new", NEW_BLOCK, old, OLD_BLOCK).withColumn("old", F.lit(False))
+    return sides[0].unionByName(sides[1]).groupBy("o", "n").applyInPandas(compare, "old_id long, new_id long, new_path string, overlap double, off double, score double")
 
 
 def moved_candidates(old: DataFrame, new: DataFrame, k: int = 5) -> DataFrame:
     """The k best new places of each old file that share a token: 0.6 overlap + 0.3 size + 0.1 format; ties by path."""
-    pairs = token_pairs(old, new)
-    o = old.select(F.col("id").alias("old_id"), F.col("filepath").alias("old_path"), F.col("filesize_bytes").alias("old_size"))
-    n = new.select(F.col("id").alias("new_id"), F.col("filepath").alias("new_path"), F.col("filesize_bytes").alias("new_size"))
-    rows = pairs.join(o, "old_id").join(n, "new_id").where("old_path <> new_path")
-    off = scoring.size_difference(F.col("old_size"), F.col("new_size"))
-    size = F.greatest(F.lit(0.0), 1 - F.coalesce(off, F.lit(1.0)))
-    same = text.extension(F.col("old_path")) == text.extension(F.col("new_path"))
-    rows = rows.withColumn("overlap", text.token_overlap(F.col("old_path"), F.col("new_path"))).withColumn("score", 0.6 * F.col("overlap") + 0.3 * size + F.when(same, 0.1).otherwise(0.0))
+
+    def best(ids, overlap, off, same, score):
+        return np.argsort(-score, kind="stable")[:k]
+
     w = Window.partitionBy("old_id").orderBy(F.desc("score"), "new_path", "new_id")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("old_id", "new_id", "overlap", "score", "place")
+    rows = block_matches(old, new, best).withColumn("place", F.row_number().over(w))
+    return rows.where(F.col("place") <= k).select("old_id", "new_id", "overlap", "score", "place")
 
 
 def relocations(old: DataFrame, new: DataFrame, least: float = 0.7, most_off: float = 0.1) -> DataFrame:
     """The best new place of each old file: same format, nearly the same size, enough tokens in common."""
-    o = old.select(F.col("id").alias("old_id"), F.col("filepath").alias("old_path"), F.col("filesize_bytes").alias("old_size"))
-    n = new.select(F.col("id").alias("new_id"), F.col("filepath").alias("new_path"), F.col("filesize_bytes").alias("new_size"))
-    rows = token_pairs(old, new).join(o, "old_id").join(n, "new_id").where("old_path <> new_path")
-    rows = rows.where(text.extension(F.col("old_path")) == text.extension(F.col("new_path")))
-    rows = rows.withColumn("off", scoring.size_difference(F.col("old_size"), F.col("new_size"))).where(F.col("off") < most_off)
-    rows = rows.withColumn("overlap", text.token_overlap(F.col("old_path"), F.col("new_path"))).where(F.col("overlap") >= least)
+
+    def best(ids, overlap, off, same, score):
+        fits = np.flatnonzero(same & (off < most_off) & (overlap >= least))
+        return fits[np.lexsort((ids[fits], off[fits], -overlap[fits]))[:1]]
+
+    rows = block_matches(old, new, best)
     return rows.groupBy("old_id").agg(F.min_by(F.struct("new_id", "overlap", "off"), F.struct(-F.col("overlap"), F.col("off"), F.col("new_id"))).alias("b")).select("old_id", "b.*")
 
 

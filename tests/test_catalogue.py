@@ -75,6 +75,18 @@ def test_set_is_within_limits(spark):
     assert rows and len({(r["genre"], r["position"]) for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("name", ["orphan_top5", "relocation_best"])
+def test_common_tokens_count_at_scale(spark, name):
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet')")
+    df = registry.QUERIES[name](spark, folder)
+    found = con.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    want = sorted(str([value(dict(zip(names, r, strict=True))[c]) for c in df.columns]) for r in found.fetchall())
+    assert sorted(str([value(r[c]) for c in df.columns]) for r in df.collect()) == want
+
+
 def test_page_rejects_unknown_key(spark):
     with pytest.raises(ValueError):
         catalogue.page(spark.range(1), "nope")
