@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,47 +60,52 @@ def repeats(entries: DataFrame, tracks: DataFrame, window: int = 3) -> DataFrame
     return rows.where(F.array_contains("recent", F.col("artist"))).select("set_id", "position")
 
 
-def build_sets(tracks: DataFrame, group: str, minutes: float = 60, strategy: str = "safest", max_jump: float = 3.0, window: int = 3, pool: int = 400) -> DataFrame:
-    """(group, position, id): one greedy set a group, from the `pool` best-documented tracks of it (a parameter of the set).
+#: Up to so many groups the last picks are broadcast; more are shuffled.
+MOST_BROADCAST = 10_000
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """rows computed once, in the checkpoint folder where there is one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
+def build_sets(tracks: DataFrame, group: str, minutes: float = 60, strategy: str = "safest", max_jump: float = 3.0, window: int = 3) -> DataFrame:
+    """(group, position, id): one greedy set a group, from all of its tracks.
 
     Each pick has the best score after the last one, keeps the tempo step within max_jump and the artist out of the last
-    `window`; if none fits, the limits are dropped for that pick. Picks depend on each other, so a group is one Python call.
+    `window`; if none fits, the limits are dropped for that pick. The first pick and ties go by artist, title, id. A track
+    without a positive duration counts as six minutes. Picks depend on each other, so each is one pass over the tracks of
+    all unfinished groups, merged from each task's own best.
     """
     base, _ = text.version_parts(F.coalesce("title", F.lit("")))
-    rows = tracks.where("status = 'ok' AND bpm > 0 AND key_camelot IS NOT NULL").withColumns({"__artist": text.primary_artist(F.col("artist")), "__title": text.compare_name(base), "__number": scoring.wheel_number(F.col("key_camelot")), "__mode": scoring.wheel_mode(F.col("key_camelot")), "__energy": scoring.energy_rank(scoring.energy_of(F.col("bpm"), F.col("genre"), mixing=True))})
-    w = Window.partitionBy(group).orderBy(F.asc_nulls_last("artist"), F.asc_nulls_last("title"), "id")
-    rows = rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= pool)
-    kind = dict(rows.dtypes)[group]
-
-    def step_score(a: dict | None, b: dict, strategy: str) -> float:
-        """The native key and tempo scores once more for single pairs inside a pick."""
-        if a is None:
-            return 0.0
-        d = abs(a["__number"] - b["__number"])
-        d, same = min(d, 12 - d), a["__mode"] == b["__mode"]
-        key = {0: (1.0, 0.85), 1: (0.9, 0.8), 2: (0.55, 0.45), 3: (0.25, 0.25)}.get(d, (0.1, 0.1))[0 if same else 1]
-        ratio = b["bpm"] / a["bpm"]
-        off = min(abs(ratio - 1), abs(2 * ratio - 1), abs(ratio / 2 - 1))
-        tempo = next((s for limit, s in ((0.02, 0.95), (0.05, 0.82), (0.08, 0.65), (0.12, 0.45), (0.2, 0.25)) if off <= limit), 0.1)
-        return 0.5 * key + 0.5 * tempo if strategy == "smooth" else 0.55 * key + 0.45 * tempo
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values("__k").to_dict("records")
-        out, played, last = [], 0.0, None
-        recent: list[str] = []
-        seen: set = set()
-        while left and played < minutes * 60:
-            fresh = [r for r in left if (r["__artist"], r["__title"]) not in seen]
-            fits = [r for r in fresh if last is None or (abs(r["bpm"] - last["bpm"]) <= max_jump and r["__artist"] not in recent)] or fresh
-            if not fits:
-                break
-            best = max(fits, key=lambda r: (step_score(last, r, strategy), -r["__k"]))
-            left.remove(best)
-            seen.add((best["__artist"], best["__title"]))
-            recent = [*recent, best["__artist"]][-window:]
-            played += best["duration_sec"] or 360.0
-            last = best
-            out.append(best["id"])
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(out), "position": range(1, len(out) + 1), "id": out})
-
-    return rows.groupBy(group).applyInPandas(pick, f"`{group}` {kind}, position int, id long")
+    artist = F.coalesce(text.primary_artist(F.col("artist")), F.lit(""))
+    name = F.concat_ws("\0", artist, F.coalesce(text.compare_name(base), F.lit("")))
+    seconds = F.when(F.col("duration_sec") > 0, F.col("duration_sec")).otherwise(360.0)
+    rows = tracks.where("status = 'ok' AND bpm > 0 AND key_camelot IS NOT NULL").select(F.col(group).alias("__group"), "id", "artist", "title", "bpm", "genre", "key_camelot", artist.alias("__artist"), name.alias("__name"), seconds.alias("__seconds"))
+    rows = kept(rows)
+    order = [F.col("artist").isNull(), F.col("artist"), F.col("title").isNull(), F.col("title"), F.col("id")]
+    pick = F.struct("id", "bpm", "genre", "key_camelot", "__artist", "__name", "__seconds")
+    state = rows.groupBy("__group").agg(F.min_by(pick, F.struct(*order)).alias("p"))
+    state = state.select("__group", "p", F.array("p.id").alias("ids"), F.array("p.__artist").alias("artists"), F.array("p.__name").alias("names"), F.col("p.__seconds").alias("played"), F.lit(False).alias("ended"))
+    state = kept(state)
+    few = state.count() <= MOST_BROADCAST
+    done = []
+    while True:
+        over = F.col("ended") | (F.col("played") >= minutes * 60)
+        done.append(state.where(over).select("__group", "ids"))
+        state = state.where(~over)
+        if state.isEmpty():
+            break
+        last = state.select("__group", *[F.col(f"p.{c}").alias(f"now_{c}") for c in ("bpm", "genre", "key_camelot")], F.slice(F.reverse("artists"), 1, window).alias("recent"), "names")
+        new = rows.join(F.broadcast(last) if few else last, rows["__group"].eqNullSafe(last["__group"])).drop(last["__group"]).where(~F.array_contains("names", F.col("__name")))
+        fits = (F.abs(F.col("bpm") - F.col("now_bpm")) <= max_jump) & ~F.array_contains("recent", F.col("__artist"))
+        score = scoring.transition(sides("now_"), sides())[strategy]
+        best = new.groupBy("__group").agg(F.min_by(pick, F.struct(~fits, -score, *order)).alias("q")).withColumnRenamed("__group", "__of")
+        found, none = F.col("q.id"), F.col("q").isNull()
+        state = state.join(F.broadcast(best) if few else best, F.col("__group").eqNullSafe(F.col("__of")), "left").select(
+            "__group", F.coalesce("q", "p").alias("p"), F.when(none, F.col("ids")).otherwise(F.array_append("ids", found)).alias("ids"),
+            F.when(none, F.col("artists")).otherwise(F.array_append("artists", F.col("q.__artist"))).alias("artists"), F.when(none, F.col("names")).otherwise(F.array_append("names", F.col("q.__name"))).alias("names"),
+            (F.col("played") + F.coalesce("q.__seconds", F.lit(0.0))).alias("played"), none.alias("ended"))
+        state = kept(state)
+    sets = reduce(DataFrame.unionByName, done)
+    return sets.select(F.col("__group").alias(group), F.posexplode("ids").alias("at", "id")).select(group, (F.col("at") + 1).cast("int").alias("position"), "id")

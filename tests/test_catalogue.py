@@ -87,6 +87,25 @@ def test_common_tokens_count_at_scale(spark, name):
     assert sorted(str([value(r[c]) for c in df.columns]) for r in df.collect()) == want
 
 
+def test_set_picks_from_all_tracks(spark):
+    """Brute force over 900 tracks of one genre, whose tracks near the first tempo and key are late in the alphabet."""
+    rows = [(k, f"artist {k:03}", f"song {k}", "Techno", 120.0 if k == 0 else 121.0 + (900 - k) % 97 * 0.1 if k > 500 else 90.0 + k % 20, f"{8 if k == 0 or k > 500 else 2}A", 200.0 + k % 50) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, artist string, title string, genre string, bpm double, key_camelot string, duration_sec double").selectExpr("*", "'ok' AS status")
+
+    def score(a, b):
+        off = min(abs(b[4] / a[4] - 1), abs(b[4] / a[4] * 2 - 1), abs(b[4] / a[4] / 2 - 1))
+        tempo = next((s for limit, s in ((0.02, 0.95), (0.05, 0.82), (0.08, 0.65), (0.12, 0.45), (0.2, 0.25)) if off <= limit), 0.1)
+        return 0.55 * (1.0 if a[5] == b[5] else 0.1) + 0.45 * tempo
+
+    want = [rows[0]]
+    while sum(r[6] for r in want) < 3600:
+        left = [r for r in rows if r not in want]
+        fits = [r for r in left if abs(r[4] - want[-1][4]) <= 3.0 and r[1] not in [w[1] for w in want[-3:]]] or left
+        want.append(max(fits, key=lambda r: (score(want[-1], r), -r[0])))
+    got = mixing.build_sets(df, "genre").orderBy("position").collect()
+    assert [r["id"] for r in got] == [r[0] for r in want] and max(r["id"] for r in got) > 500
+
+
 def test_page_rejects_unknown_key(spark):
     with pytest.raises(ValueError):
         catalogue.page(spark.range(1), "nope")
