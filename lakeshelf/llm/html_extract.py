@@ -3,7 +3,8 @@
 Every block of text has a path: the block-level tags from the root down to it, with their classes. Per path the text's
 length and punctuation per block are aggregated, damped by the share of link text, smoothed along the page, fused, and
 thresholded; paths above the threshold are content. Containers that name themselves as something else (menus, adverts,
-reader comments, forms and so on) are never content. A container that names itself the article only raises the score of
+reader comments, forms and so on) by their tag are never content; by a word of their class, id or role their paths' scores
+are lowered and must still reach the best other path's, unless the container holds an article or main element or, on pages without one, most of the scored text. A container that names itself the article only raises the score of
 its paths; if any of them is content, it takes in its short blocks too, as does the parent of the content paths.
 """
 
@@ -47,6 +48,8 @@ OTHER_WORDS = set(
 ARTICLE_WORDS = set("article articlebody content main post story entry".split())
 #: The factor by which an article's name raises the fused score of a path.
 RAISED = 2.0
+#: The factor by which another container's name lowers it.
+LOWERED = 0.1
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 KERNEL = np.exp(-0.5 * (np.arange(-1, 2) / 0.6) ** 2)
 
@@ -56,18 +59,20 @@ def words_of(rest: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()) if w]
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, str, int]]:
-    """(path, other, number of the outermost article container or 0, text, link characters) of each block with text, in page order."""
-    out, parts, links, articles = [], [], 0, 0
-    open_tags: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, label, inside other, inside which article
+def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, str, int, tuple[int, ...], bool]]:
+    """(path, dropped by tag, number of the outermost article container or 0, text, link characters, numbers of the
+    containers with other names, inside an article or main element) of each block with text, in page order."""
+    out, parts, links, articles, others = [], [], 0, 0, 0
+    open_tags: list[tuple[str, str, bool, int, tuple[int, ...], bool]] = [("", "", False, 0, (), False)]  # tag, label, dropped, article, other names, in an article element
     in_link, at = 0, 0
 
     def flush() -> None:
         nonlocal parts, links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(label for tag, label, _, _ in open_tags[1:])
-            out.append((path, open_tags[-1][2], open_tags[-1][3], text, links))
+            path = tuple(x[1] for x in open_tags[1:])
+            _, _, dropped, article, named, inside = open_tags[-1]
+            out.append((path, dropped, article, text, links, named, inside))
         parts, links = [], 0
 
     def add(text: str) -> None:
@@ -118,40 +123,64 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, str, int]]:
                     close(len(open_tags) - 1)
             flush()
             names = words_of(m["rest"]) if m["rest"] else []
-            _, _, other, article = open_tags[-1]
-            named_article = tag in ARTICLE or bool(ARTICLE_WORDS.intersection(names))
-            other = other or tag in DROPPED or (tag not in ("html", "body") and bool(OTHER_WORDS.intersection(names)) and not (tag in ARTICLE and "comment" not in names and "comments" not in names))
-            other = other or tag == "header" and not article
-            if not article and not other and named_article and tag not in ("html", "body") and tag not in HEADINGS:
+            _, _, dropped, article, named, inside = open_tags[-1]
+            if tag not in ("html", "body") and OTHER_WORDS.intersection(names) and not (tag in ARTICLE and "comment" not in names and "comments" not in names):
+                others += 1
+                named = (*named, others)
+            dropped = dropped or tag in DROPPED or tag == "header" and not article
+            if not article and not dropped and tag not in ("html", "body") and tag not in HEADINGS and (tag in ARTICLE or ARTICLE_WORDS.intersection(names)):
                 articles += 1
                 article = articles
-            open_tags.append((tag, ".".join([tag, *names]), other, 0 if other else article))
+            inside = not dropped and (inside or tag in ARTICLE)
+            open_tags.append((tag, ".".join([tag, *names]), dropped, 0 if dropped else article, named, inside))
     flush()
     return out
 
 
+def wrappers(found: list) -> set[int]:
+    """Containers with another name that hold an article or main element; on pages without one, those that hold most of the scored text."""
+    scored, total, held = {}, 0, set()
+    first: dict[int, tuple[int, ...]] = {}  # the other names around an article element, by its container
+    for _, dropped, article, text, links, named, inside in found:
+        if dropped:
+            continue
+        total += max(0, len(text) - links)
+        for k in named:
+            scored[k] = scored.get(k, 0) + max(0, len(text) - links)
+        if inside:
+            around = first.setdefault(article, named)
+            first[article] = tuple(k for k in around if k in named)
+    for around in first.values():
+        held.update(around)
+    return held if first else {k for k, x in scored.items() if 2 * x > total}
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
+    wide = wrappers(found)
+    found = [((*path, "*") if lowered else path, dropped, lowered, article, text, links) for path, dropped, article, text, links, named, _ in found for lowered in [not wide.issuperset(named)]]
     paths: dict[tuple[str, ...], list[float]] = {}
-    for path, other, article, text, links in found:
-        total = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0, float(other), float(article > 0)])
+    for path, dropped, lowered, article, text, links in found:
+        total = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0, float(dropped), float(lowered), float(article > 0)])
         for k, x in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(links, len(text)))):
             total[k] += x
     if not paths:
         return ""
-    n, chars, marks, links, other, article = np.array(list(paths.values())).T
+    n, chars, marks, links, dropped, lowered, article = np.array(list(paths.values())).T
     open_share = 1 - links / chars
     fused = smoothed(chars / n * open_share) * smoothed((1 + marks) / n * open_share)
-    fused[other > 0] = 0
+    fused[dropped > 0] = 0
+    fused[lowered > 0] *= LOWERED
     least = fused.mean()
-    fused[article > 0] *= RAISED  # after the threshold is known, so that no other path falls below it
-    content = {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= least}
-    taken = {article for path, _, article, _, _ in found if article and path in content}
-    parents = {p[:-1] for p in content}
+    fused[(article > 0) & (lowered == 0)] *= RAISED  # after the threshold is known, so that no other path falls below it
+    best = fused[lowered == 0].max(initial=0.0)
+    content = {p for p, f, low in zip(paths, fused, lowered, strict=True) if f > 0 and f >= (max(least, best) if low else least)}
+    taken = {article for path, _, lowered, article, _, _ in found if article and not lowered and path in content}
+    parents = {p[:-1] for p in content if p[-1:] != ("*",)}
     chosen = []
-    for path, other, article, text, links in found:
+    for path, dropped, lowered, article, text, links in found:
         beside = article in taken or len(path) > 1 and any(path[: len(p)] == p and len(p) > 2 for p in parents) or bool(path) and path[:-1] in parents and path[-1].split(".")[0] in HEADINGS
-        if not other and (path in content or beside) and not linked_only(path, text, links):
+        if not dropped and (path in content or beside and not lowered) and not linked_only(path[:-1] if lowered else path, text, links):
             chosen.append(text)
     return "\n\n".join(chosen)
 

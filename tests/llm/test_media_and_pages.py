@@ -103,6 +103,12 @@ def test_article_names_only_raise_scores():
     assert html_extract.main_text(both) == f"{CLEAN}\n\nA short item\n\n{CLEAN}\n\n{CLEAN}"
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content-sidebar-wrap'><main>{}</main></div>", "<div id='page' class='has-sidebar'><div>{}</div></div>", "<div class='hidden'><article>{}</article></div>"])
+def test_wrappers_with_other_names_keep_their_text(wrapper):
+    inner = f"<p>{ARTICLE}</p><p>{ARTICLE}</p><div class='comments'><p>Nice, thanks.</p></div>"
+    assert html_extract.main_text(f"<html><body><nav><p>{ARTICLE}</p></nav>{wrapper.format(inner)}</body></html>") == f"{CLEAN}\n\n{CLEAN}"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>", "</div>", "<!-- a", "<script>a", "&#x110000;&nbsp;", "<a href='", "<div " * 50, "<p>" * 3000, "plain text only"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_extract.main_text(page), str)
