@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,53 +23,64 @@ from lakeshelf.llm.common import keyed_text, ship_package, stored
 
 LENGTH, END_ID = 2048, 1
 BUCKETS, DIMENSIONS, BITS, SEED = 256, 4, 12, 7
-#: Entries that a worker's caches hold before they start anew.
-MOST_CHUNKS, MOST_WORDS = 100_000, 100_000
+#: The first character that isn't plain to WordTokenizer; new entries after which a worker's caches forget the oldest.
+PLAIN, MOST_CHUNKS, MOST_WORDS = 0x250, 50_000, 200_000
+
+
+class Recent(dict):
+    """Answers of a function to recent questions: the last `most` new ones at least, twice as many at most."""
+
+    def __init__(self, answer: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.answer, self.most, self.older = answer, most, {}
+
+    def __missing__(self, question: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(question)
+        self[question] = found = self.answer(question) if found is None else found
+        return found
 
 
 class WordTokenizer:
-    """Token ids as little-endian bytes, remembered by white-space-separated chunk and by word.
+    """Token ids as little-endian bytes, remembered by word or by white-space-separated chunk.
 
-    Chunks of letters below U+0250, where lower-casing is by character and NFC can be applied alone, are split into
-    words by the tokenizer's own pattern and each word goes to its model; all others go through the whole tokenizer.
+    Texts of characters below U+0250, which NFC leaves alone and whose lower-casing is by character, are split into
+    words by the tokenizer's own pattern and each word goes to its model. Any other text is cut at spaces and line
+    ends, and each of its chunks that isn't so plain goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = re.compile("[\\x21-ɏ]*")
+        low = [chr(c) for c in range(PLAIN)]
+        letters, numbers = ("".join(c for c in low if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
+        self.odd = re.compile(f"[^\\0-{chr(PLAIN - 1)}]|<\\|")
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 65536 else "<u4")
         known = sorted({*range(33, 127), *range(161, 173), *range(174, 256)})
         others = [b for b in range(256) if b not in set(known)]
         self.shown = {b: chr(b) for b in known} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(self.chunk, MOST_CHUNKS), Recent(self.word, MOST_WORDS)
 
     def word(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-        self.words[word] = out = np.array([t.id for t in self.whole.model.tokenize(shown)], self.kind).tobytes()
-        return out
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+        return np.array([t.id for t in self.whole.model.tokenize(shown)], self.kind).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split.findall(text.lower())))
 
     def chunk(self, chunk: str) -> bytes:
-        if self.plain.fullmatch(chunk) and "<|" not in chunk:
-            lower = unicodedata.normalize("NFC", chunk).lower()
-            out = b"".join([self.words.get(w) or self.word(w) for w in self.split.findall(lower)])
-        else:
-            out = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        self.chunks[chunk] = out
-        return out
+        if self.odd.search(chunk):
+            return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.plain(chunk)
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        if len(self.chunks) > MOST_CHUNKS:
-            self.chunks = {"": b""}
-        get, miss = self.chunks.get, self.chunk
-        # b"" is a known answer too, so only None is a miss
-        parts = [found if (found := get(c)) is not None else miss(c) for c in text.replace("\n", " ").split(" ")]
-        return np.frombuffer(b"".join(parts), self.kind)
+        if self.odd.search(text):
+            return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))), self.kind)
+        return np.frombuffer(self.plain(text), self.kind)
 
 
 @lru_cache(maxsize=2)

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -241,6 +242,24 @@ def test_pieces_cover_every_document(spark, documents, awkward):
             assert at == 2048 or k == max(sequences) and at < 2048
 
 
+def test_token_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng, whole, ours = random.Random(5), Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    pools = ["abcXYZ 's't'LL .,!?", "\x7f\x00\x1c\x1f\x85\xa0\t\r\n ab", "éÀßİſŉǅ ɏªº²½ˆ", "世界ابΣσςа̀́<|endoftext|>", "\U0001f642❤️\u200d\u2003\u3000", "0123456789-_/'"]
+    for _ in range(4000):
+        pool = "".join(rng.sample(pools, rng.randint(1, 4)))
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))
+        assert ours.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_recent_answers_are_bounded():
+    asked = []
+    known = packing.Recent(lambda q: asked.append(q) or q, 3)
+    assert [known[q] for q in "abcadaeafag"] == list("abcadaeafag")
+    assert len(known) + len(known.older) <= 6 and asked.count("a") == 1
+
+
 def test_hilbert_keys_visit_neighbours():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)
