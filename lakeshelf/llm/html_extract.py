@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,8 @@ from pyspark.sql import functions as F
 
 from lakeshelf.llm.common import ship_package
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^'\">]|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S,
-)
+TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[\"'>]")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noembed", "xmp"}
 DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "object", "canvas", "audio", "video", "datalist", "fieldset"}
@@ -59,135 +57,233 @@ def words_of(rest: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()) if w]
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, str, int, tuple[int, ...], bool]]:
-    """(path, dropped by tag, number of the outermost article container or 0, text, link characters, numbers of the
-    containers with other names, inside an article or main element) of each block with text, in page order."""
-    out, parts, links, articles, others = [], [], 0, 0, 0
-    open_tags: list[tuple[str, str, bool, int, tuple[int, ...], bool]] = [("", "", False, 0, (), False)]  # tag, label, dropped, article, other names, in an article element
-    in_link, at = 0, 0
+class Scanner:
+    """Cuts a page into texts and tags in one pass, however broken it is: what a failed search has seen isn't searched again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone, self.failed = page, set(), set()
+
+    def find(self, what: str, at: int) -> int:
+        found = -1 if what in self.gone else self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place after the > that ends a tag, outside quotes if there is one; -1 if there is no > at all."""
+        place, opened = at, []
+        while found := SPECIAL.search(self.page, place):
+            quote = found.start()
+            if found[0] == ">":
+                return quote + 1
+            opened.append(quote)
+            if quote in self.failed or (place := self.find(found[0], quote + 1) + 1) == 0:
+                break
+        self.failed.update(opened)
+        return self.find(">", at) + 1 or -1
+
+    def tokens(self):
+        """(text, "", False, "") or ("", lower-case tag, whether it ends, attributes) in page order; no comments, no raw contents."""
+        page, at = self.page, 0
+        while at < len(page):
+            start = self.find("<", at)
+            if start != at:
+                yield page[at : start if start > 0 else len(page)], "", False, ""
+                if start < 0:
+                    return
+            at = start
+            if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+                ends = "-->" if page[at + 2] == "-" else "]]>"
+                at = self.find(ends, at + 4) + 3 if self.find(ends, at + 4) >= 0 else len(page)
+                continue
+            tag = TAG.match(page, at)
+            end = self.tag_end(tag.end()) if tag else self.find(">", at) + 1 or -1 if page[at + 1 : at + 2] in ("!", "?") else -1
+            if end < 0:
+                yield "<", "", False, ""
+                at += 1
+                continue
+            at = end
+            if not tag:
+                continue
+            name, rest = tag["tag"].lower(), page[tag.end() : end - 1]
+            if name in RAW and not tag["end"]:
+                if not rest.rstrip().endswith("/"):
+                    found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                    at = found.end() if found else len(page)
+                continue
+            yield "", name, bool(tag["end"]), rest
+
+
+class Paths:
+    """The root-to-leaf paths of a page, numbered from 0, the root's; parents come before their children."""
+
+    def __init__(self):
+        self.parent, self.label, self.depth, self.numbers = [0], [""], [0], {}
+
+    def below(self, parent: int, label: str) -> int:
+        number = self.numbers.setdefault((parent, label), len(self.label))
+        if number == len(self.label):
+            self.parent.append(parent)
+            self.label.append(label)
+            self.depth.append(self.depth[parent] + 1)
+        return number
+
+    def tag(self, path: int) -> str:
+        return self.label[path].split(".")[0]
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element; what lies in it inherits all but its tag."""
+
+    tag: str
+    path: int
+    dropped: bool  # by its tag, or as a part of such an element
+    article: int  # the number of the outermost article container, or 0
+    named: int  # the number of the innermost container with another name, or 0
+    inside: bool  # in an article or main element
+
+
+@dataclass(slots=True)
+class Block:
+    at: Open
+    text: str
+    links: int
+
+
+def blocks(page: str) -> tuple[list[Block], Paths, list[int]]:
+    """The blocks with text in page order, the page's paths, and for each container with another name the one around it."""
+    out, paths, parts, links, articles, others = [], Paths(), [], 0, 0, [0]
+    open_, counts, in_link = [Open("", 0, False, 0, 0, False)], Counter(), False
 
     def flush() -> None:
         nonlocal parts, links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(x[1] for x in open_tags[1:])
-            _, _, dropped, article, named, inside = open_tags[-1]
-            out.append((path, dropped, article, text, links, named, inside))
+            out.append(Block(open_[-1], text, links))
         parts, links = [], 0
 
-    def add(text: str) -> None:
-        nonlocal links
-        parts.append(text)
-        if in_link:
-            links += len(text)
-
     def close(k: int) -> None:
         flush()
-        del open_tags[k:]
-
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+        counts.subtract(x.tag for x in open_[k:])
+        del open_[k:]
+
+    for text, tag, ends, rest in Scanner(page).tokens():
         if not tag:
-            continue
-        if tag in RAW and not m["end"]:
-            if not m["rest"].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if tag == "br":
-            add(" ")
+            parts.append(text)
+            links += len(text) if in_link else 0
+        elif tag == "br":
+            parts.append(" ")
         elif tag == "a":
-            in_link = 0 if m["end"] else 1
-        elif tag in BLOCK:
-            if m["end"]:
-                for k in range(len(open_tags) - 1, 0, -1):
-                    if open_tags[k][0] == tag:
-                        close(k)
-                        break
-                else:
-                    flush()
-                continue
-            if tag in VOID:
-                flush()
-                continue
-            if open_tags[-1][0] == "p" or open_tags[-1][0] in CLOSES.get(tag, ()):
-                close(len(open_tags) - 1)
-                if open_tags[-1][0] in CLOSES.get(tag, ()):
-                    close(len(open_tags) - 1)
+            in_link = not ends
+        elif tag not in BLOCK:
+            continue
+        elif tag in VOID:
+            flush()
+        elif ends:
             flush()
-            names = words_of(m["rest"]) if m["rest"] else []
-            _, _, dropped, article, named, inside = open_tags[-1]
-            if tag not in ("html", "body") and OTHER_WORDS.intersection(names) and not (tag in ARTICLE and "comment" not in names and "comments" not in names):
-                others += 1
-                named = (*named, others)
-            dropped = dropped or tag in DROPPED or tag == "header" and not article
-            if not article and not dropped and tag not in ("html", "body") and tag not in HEADINGS and (tag in ARTICLE or ARTICLE_WORDS.intersection(names)):
+            if counts[tag] > 0:
+                k = len(open_) - 1
+                while open_[k].tag != tag:
+                    k -= 1
+                close(k)
+        else:
+            if open_[-1].tag == "p" or open_[-1].tag in CLOSES.get(tag, ()):
+                close(len(open_) - 1)
+                if open_[-1].tag in CLOSES.get(tag, ()):
+                    close(len(open_) - 1)
+            flush()
+            names, outer, whole = words_of(rest) if rest else [], open_[-1], tag in ("html", "body")
+            article, named = outer.article, outer.named
+            if not whole and OTHER_WORDS.intersection(names) and not (tag in ARTICLE and "comment" not in names and "comments" not in names):
+                others.append(named)
+                named = len(others) - 1
+            dropped = outer.dropped or tag in DROPPED or tag == "header" and not article
+            if not article and not dropped and not whole and tag not in HEADINGS and (tag in ARTICLE or ARTICLE_WORDS.intersection(names)):
                 articles += 1
                 article = articles
-            inside = not dropped and (inside or tag in ARTICLE)
-            open_tags.append((tag, ".".join([tag, *names]), dropped, 0 if dropped else article, named, inside))
+            path = paths.below(outer.path, ".".join([tag, *names]))
+            open_.append(Open(tag, path, dropped, 0 if dropped else article, named, not dropped and (outer.inside or tag in ARTICLE)))
+            counts[tag] += 1
     flush()
-    return out
+    return out, paths, others
 
 
-def wrappers(found: list) -> set[int]:
-    """Containers with another name that hold an article or main element; on pages without one, those that hold most of the scored text."""
-    scored, total, held = {}, 0, set()
-    first: dict[int, tuple[int, ...]] = {}  # the other names around an article element, by its container
-    for _, dropped, article, text, links, named, inside in found:
-        if dropped:
-            continue
-        total += max(0, len(text) - links)
-        for k in named:
-            scored[k] = scored.get(k, 0) + max(0, len(text) - links)
-        if inside:
-            around = first.setdefault(article, named)
-            first[article] = tuple(k for k in around if k in named)
-    for around in first.values():
-        held.update(around)
-    return held if first else {k for k, x in scored.items() if 2 * x > total}
+def lowered(found: list[Block], outer: list[int]) -> list[bool]:
+    """Whether each block lies in a container with another name that isn't a wrapper.
+
+    Wrappers hold an article or main element; on pages without one, they hold most of the scored text. outer: for each
+    such container the one around it, which has a smaller number.
+    """
+    kept, size = [b for b in found if not b.at.dropped], len(outer)
+    around: dict[int, int] = {}  # for each article the innermost container that all its blocks lie in
+    seen = set()
+    for b in kept:
+        if b.at.inside:
+            at, common = b.at.named, around.setdefault(b.at.article, b.at.named)
+            while at > common and (b.at.article, at) not in seen:
+                seen.add((b.at.article, at))
+                at = outer[at]
+            if at < common:
+                while at != common:
+                    common, at = (outer[common], at) if common > at else (common, outer[at])
+                around[b.at.article] = common
+    wide = [False] * size
+    if around:
+        for at in around.values():
+            while at and not wide[at]:
+                wide[at] = True
+                at = outer[at]
+    else:
+        scored = [0] * size
+        for b in kept:
+            scored[b.at.named] += max(0, len(b.text) - b.links)
+        total = sum(scored)
+        for k in range(size - 1, 0, -1):
+            wide[k] = 2 * scored[k] > total
+            scored[outer[k]] += scored[k]
+    low = [False] * size
+    for k in range(1, size):
+        low[k] = low[outer[k]] or not wide[k]
+    return [low[b.at.named] for b in found]
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
-    wide = wrappers(found)
-    found = [((*path, "*") if lowered else path, dropped, lowered, article, text, links) for path, dropped, article, text, links, named, _ in found for lowered in [not wide.issuperset(named)]]
-    paths: dict[tuple[str, ...], list[float]] = {}
-    for path, dropped, lowered, article, text, links in found:
-        total = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0, float(dropped), float(lowered), float(article > 0)])
-        for k, x in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(links, len(text)))):
-            total[k] += x
-    if not paths:
+    """The texts of the content paths' blocks, and of short ones beside them, joined by two line ends."""
+    found, paths, others = blocks(page)
+    if not found:
         return ""
-    n, chars, marks, links, dropped, lowered, article = np.array(list(paths.values())).T
+    low = lowered(found, others)
+    keys = [(b.at.path, is_low) for b, is_low in zip(found, low, strict=True)]  # a path counts apart where it is lowered
+    number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    of, size = np.array([number[k] for k in keys]), len(number)
+    n, chars, marks, links = (np.bincount(of, x, size) for x in ([1] * len(found), [len(b.text) for b in found], [len(PUNCTUATION.findall(b.text)) for b in found], [min(b.links, len(b.text)) for b in found]))
+    dropped, is_low, article = (np.bincount(of, x, size) > 0 for x in ([b.at.dropped for b in found], low, [b.at.article > 0 for b in found]))
     open_share = 1 - links / chars
     fused = smoothed(chars / n * open_share) * smoothed((1 + marks) / n * open_share)
-    fused[dropped > 0] = 0
-    fused[lowered > 0] *= LOWERED
+    fused[dropped] = 0
+    fused[is_low] *= LOWERED
     least = fused.mean()
-    fused[(article > 0) & (lowered == 0)] *= RAISED  # after the threshold is known, so that no other path falls below it
-    best = fused[lowered == 0].max(initial=0.0)
-    content = {p for p, f, low in zip(paths, fused, lowered, strict=True) if f > 0 and f >= (max(least, best) if low else least)}
-    taken = {article for path, _, lowered, article, _, _ in found if article and not lowered and path in content}
-    parents = {p[:-1] for p in content if p[-1:] != ("*",)}
+    fused[article & ~is_low] *= RAISED  # after the threshold is known, so that no other path falls below it
+    best = fused[~is_low].max(initial=0.0)
+    content = (fused > 0) & (fused >= np.where(is_low, max(least, best), least))
+    taken = {b.at.article for b, k, is_low in zip(found, of, low, strict=True) if b.at.article and not is_low and content[k]}
+    parents = {paths.parent[path] for (path, is_low), k in number.items() if content[k] and not is_low}
+    below = [False] * len(paths.label)  # whether a path lies in a parent of content, other than the body
+    for path in range(len(below)):
+        below[path] = below[paths.parent[path]] or path in parents and paths.depth[path] > 2
     chosen = []
-    for path, dropped, lowered, article, text, links in found:
-        beside = article in taken or len(path) > 1 and any(path[: len(p)] == p and len(p) > 2 for p in parents) or bool(path) and path[:-1] in parents and path[-1].split(".")[0] in HEADINGS
-        if not dropped and (path in content or beside and not lowered) and not linked_only(path[:-1] if lowered else path, text, links):
-            chosen.append(text)
+    for b, k, is_low in zip(found, of, low, strict=True):
+        path = b.at.path
+        beside = b.at.article in taken or below[path] or paths.parent[path] in parents and paths.tag(path) in HEADINGS
+        if not b.at.dropped and (content[k] or beside and not is_low) and not linked_only(paths.tag(path), b.text, b.links):
+            chosen.append(b.text)
     return "\n\n".join(chosen)
 
 
-def linked_only(path: tuple[str, ...], text: str, links: int) -> bool:
+def linked_only(tag: str, text: str, links: int) -> bool:
     """A list item or cell that is a link and no more, as in a menu."""
-    return bool(path) and path[-1].split(".")[0] in ("li", "td", "dd", "ul", "div") and links >= len(text) > 0
+    return tag in ("li", "td", "dd", "ul", "div") and links >= len(text) > 0
 
 
 def smoothed(values: np.ndarray) -> np.ndarray:

@@ -1,7 +1,9 @@
 """FLAC round trips and corruption, pages by literal cases, and the registered queries against DuckDB."""
 
 import hashlib
+import math
 import os
+import time
 import random
 import zlib
 
@@ -109,6 +111,45 @@ def test_wrappers_with_other_names_keep_their_text(wrapper):
     assert html_extract.main_text(f"<html><body><nav><p>{ARTICLE}</p></nav>{wrapper.format(inner)}</body></html>") == f"{CLEAN}\n\n{CLEAN}"
 
 
+def plain_selection(elements):
+    """The texts that path ratios select, by the formulas and one element after the other; elements: (path, text)."""
+    paths = list(dict.fromkeys(path for path, _ in elements))
+    texts = {p: [t for q, t in elements if q == p] for p in paths}
+    length = [sum(map(len, texts[p])) / len(texts[p]) for p in paths]
+    marks = [(1 + sum(t.count(".") + t.count(",") for t in texts[p])) / len(texts[p]) for p in paths]
+    side = math.exp(-0.5 / 0.36)
+
+    def smooth(x):
+        return [(side * x[max(k - 1, 0)] + x[k] + side * x[min(k + 1, len(x) - 1)]) / (1 + 2 * side) for k in range(len(x))]
+
+    fused = [a * b for a, b in zip(smooth(length), smooth(marks), strict=True)]
+    content = {p for p, f in zip(paths, fused, strict=True) if f >= sum(fused) / len(fused)}
+    parents = {p[:-1] for p in content}
+    return [t for p, t in elements if p in content or any(len(q) > 2 and p[: len(q)] == q for q in parents) or p[-1] == "h2" and p[:-1] in parents]
+
+
+def test_path_ratios_equal_the_formulas():
+    rng = random.Random(4)
+    for _ in range(200):
+        elements, page = [], "<html><body>"
+        for _ in range(rng.randint(1, 5)):
+            depth = rng.randint(0, 3)
+            page += "<div>" * depth
+            for _ in range(rng.randint(1, 5)):
+                tag, text = rng.choice(("p", "h2", "pre")), rng.choice(("Menu", "One word, more.", "Some words, and. " * rng.randint(1, 9))).strip()
+                page += f"<{tag}>{text}</{tag}>"
+                elements.append((("html", "body", *["div"] * depth, tag), text))
+            page += "</div>" * depth
+        assert html_extract.main_text(page) == "\n\n".join(plain_selection(elements))
+
+
+@pytest.mark.parametrize("piece", ["<a href='", "<div>", "<div class='ad'>", "<a '>'", "</div>", "<p><b '\">", "<div>x</p>", "<article><p class='ad'>x"])
+def test_broken_pages_take_linear_time(piece):
+    began = time.process_time()
+    html_extract.main_text(piece * 8_000)
+    assert time.process_time() - began < 3
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>", "</div>", "<!-- a", "<script>a", "&#x110000;&nbsp;", "<a href='", "<div " * 50, "<p>" * 3000, "plain text only"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_extract.main_text(page), str)
