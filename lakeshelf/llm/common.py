@@ -57,3 +57,13 @@ def ship_package(spark: SparkSession) -> None:
 def held_out(id_column: Column) -> Column:
     """The fold that no model may learn from."""
     return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
+
+
+def least_hash(most: int, count: int) -> int:
+    """The bound below which about `most` of `count` evenly spread values of 62 bits lie; never 0."""
+    return (1 << 62) if count <= most else max(1, (most << 62) // count)
+
+
+def hash_share(id_column: Column, salt: int, most: int, count: int) -> Column:
+    """True for about `most` of `count` rows at most, by a hash of their id; a null id is hashed too."""
+    return F.pmod(F.xxhash64(id_column, F.lit(salt)), F.lit(1 << 62)) < F.lit(least_hash(most, count))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import held_out, keyed_text, ship_package
+from lakeshelf.llm.common import hash_share, held_out, keyed_text, ship_package
 
 #: The bounds of what is learnt from and broadcast: labelled rows (expected) and latent dimensions.
 MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 4000, 48, 15
@@ -97,8 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     """A model of a hash sample of about `most` labelled rows at most that aren't held out; None if there are none."""
     ship_package(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    keep = min(1.0, most / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)) < int(keep * 1_000_000)).dropDuplicates(["id"])
+    known = known.where(hash_share(F.col("id"), 23, most, known.count())).dropDuplicates(["id"])
     rows = keyed_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "label")
 
     def run(batches):

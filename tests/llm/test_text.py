@@ -7,12 +7,13 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeshelf.llm import language_id, packing, pieces, pii, quality, secret_scan
+from lakeshelf.llm import common, language_id, packing, pieces, pii, quality, secret_scan
 from lakeshelf.llm.registry import PIECES, WORDS
 
 
@@ -53,6 +54,38 @@ def test_expected_counts_weigh_segmentations():
     assert np.allclose(lattice.expected(["aa"], np.array([5.0]), 0), want)
 
 
+def test_long_runs_are_summed_whole():
+    names = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+    table = np.random.default_rng(3).random((len(names), 2)) * 1e-3
+    lattice = language_id.Lattice({n: k for k, n in enumerate(names)}, table)
+    for word in ("ab" * 30, "abx" * 400, "x" * 3000):
+        marked, logs = "▁" + word, []
+        for lang in range(2):
+            sums = [Fraction(1)]
+            for j in range(1, len(marked) + 1):
+                ways = (sums[i] * Fraction(float(table[names.index(marked[i:j]), lang] if marked[i:j] in names else language_id.UNKNOWN if j == i + 1 else 0)) for i in range(max(0, j - 3), j))
+                sums.append(sum(ways))
+                if j % 16 == 0:  # keep the fractions short: only the last sums are needed again
+                    scale = sums[-1]
+                    logs.append((lang, math.log(scale.numerator) - math.log(scale.denominator)))
+                    sums = [*[Fraction(0)] * (len(sums) - 3), *[Fraction(float(x / scale)) for x in sums[-3:]]]
+            logs.append((lang, math.log(float(sums[-1]))))
+        want = [sum(x for k, x in logs if k == lang) for lang in range(2)]
+        assert np.allclose(lattice.log_likelihood([word])[0], want, rtol=1e-9)
+        counts = lattice.expected([word], np.array([2.0]), 1)
+        assert np.isfinite(counts).all() and (word[0] == "x" or math.isclose(sum(c * len(n.strip("▁")) for c, n in zip(counts, names, strict=True)), 2 * sum(c != "x" for c in word), rel_tol=1e-6))
+
+
+@pytest.mark.parametrize("rows", [0, 10, 4000, 4001, 3 * 10**10, 10**15])
+def test_samples_are_never_empty(rows):
+    share = common.least_hash(4000, rows) / (1 << 62)
+    assert share == 1 if rows <= 4000 else math.isclose(share * rows, 4000, rel_tol=1e-3)
+
+
+def test_words_are_letters_with_their_marks():
+    assert language_id.words_of("A² ½ Ⅳ e\u0301t\u0941 1st") == ["a", "e\u0301t\u0941", "st"]
+
+
 def test_language_of_held_out_rows(documents):
     got = language_id.language_id(documents, PIECES).join(documents.select("doc_id", "lang", "text"), "doc_id").collect()
     judged = [r for r in got if r["held_out"] and r["lang"] and re.search(r"[^\W\d_]", r["text"] or "")]
