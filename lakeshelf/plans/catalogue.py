@@ -463,17 +463,6 @@ def page_links(spark, sf_dir):
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("url").alias("places"))
 
 
-@query()
-def sanitized_text(spark, sf_dir):
-    return tracks(spark, sf_dir).select("id", text.sanitised(F.col("title")).alias("title"))
-
-
-@query("SELECT id, CASE WHEN regexp_extract(filepath, '([^/]*)$', 1) LIKE '% - %' THEN trim(split_part(regexp_extract(filepath, '([^/]*)\\.[^.]*$', 1), ' - ', 1)) ELSE '' END AS artist, trim(regexp_extract(filepath, '([^/]*)\\.[^.]*$', 1)) AS title FROM v_tracks", "tracks")
-def parsed_stems(spark, sf_dir):
-    artist, title = text.artist_and_title(text.same_separators(text.stem(F.col("filepath"))))
-    return tracks(spark, sf_dir).select("id", artist.alias("artist"), title.alias("title"))
-
-
 def _category_sql() -> str:
     return f"""CASE WHEN regexp_matches(filepath, '/\\.[^/]*$') OR NOT starts_with(filepath,'/') THEN 'BAD_PATH' WHEN status='stale' THEN 'STALE' WHEN trim(coalesce(artist,''))='' OR trim(coalesce(title,''))='' THEN 'MISSING_METADATA'
   WHEN coalesce(bpm,0)<=0 THEN 'MISSING_BPM' WHEN bpm NOT BETWEEN 50 AND 220 THEN 'BAD_BPM' WHEN key_camelot IS NULL THEN 'MISSING_KEY' WHEN {WHEEL.format('key_camelot')} IS NULL THEN 'BAD_KEY'

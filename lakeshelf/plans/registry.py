@@ -1,5 +1,6 @@
 """All queries of the catalogue with their SQL."""
 
+from lakeshelf.plans import parsing
 from lakeshelf.plans.catalogue import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "parsing"]

@@ -39,7 +39,25 @@ FILES = """SELECT doc_id AS id, md5(text) AS content_hash, n_chars AS size, lang
 PLAYED = """SELECT conv_id AS session_id, turn AS position, role, length(text) AS n FROM conversations"""
 INBOX = """SELECT event_id AS id, user_id AS folder, ts, event_type FROM events"""
 
+#: File names without extension, with the prefixes, separators, versions and advertising that names come with.
+NAMES = """SELECT p_partkey AS id, concat(
+  CASE p_partkey % 16 WHEN 0 THEN '01 - ' WHEN 1 THEN '55. ' WHEN 2 THEN '8A - ' WHEN 3 THEN 'A - ' WHEN 4 THEN '# - ' WHEN 5 THEN '2 | ' WHEN 6 THEN '003_' WHEN 7 THEN 'www.pool.com ' WHEN 8 THEN '12b_ ' ELSE '' END,
+  CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Folder Music' WHEN 2 THEN '[watermark]' WHEN 3 THEN concat(p_brand, ', Guest & Friend') ELSE p_brand END,
+  CASE p_partkey % 9 WHEN 0 THEN '-' WHEN 1 THEN ' – ' WHEN 2 THEN ' | ' WHEN 3 THEN ' - - ' ELSE ' - ' END,
+  p_name,
+  CASE p_partkey % 17 WHEN 0 THEN ' (Original Mix)' WHEN 1 THEN ' [Extended Mix]' WHEN 2 THEN ' (fordjonly.com)' WHEN 3 THEN ' (djcity Remix)' WHEN 4 THEN ' [ www.x.org ]' WHEN 5 THEN ' - gold' WHEN 6 THEN ' Free Download'
+    WHEN 7 THEN ' https___pool.net' WHEN 8 THEN ' ™ Exclusive' WHEN 9 THEN ' Exclusive Mix' WHEN 10 THEN ' (Live) (Club Edit) 2' WHEN 11 THEN ' pool.net/x, For DJs Only' WHEN 12 THEN ' httpspool.pro#' WHEN 13 THEN ' (Toolroom Records) 128bpm' ELSE '' END) AS stem,
+  CASE p_partkey % 11 WHEN 0 THEN 'KaybeeShimzaBlack' WHEN 1 THEN 'AdilDJ feat. Sue' WHEN 2 THEN '&MERampa' WHEN 3 THEN '8B' WHEN 4 THEN 'N/A' WHEN 5 THEN 'DJCity' WHEN 6 THEN 'The Ray''s x Ben vs. Cy' WHEN 7 THEN '55. Bo' WHEN 8 THEN 'x.com' WHEN 9 THEN NULL ELSE p_brand END AS artist,
+  CASE p_partkey % 6 WHEN 0 THEN 'DJ.POOL.UP' WHEN 1 THEN 'a/b' WHEN 2 THEN 'www.site.com' WHEN 3 THEN '' WHEN 4 THEN 'Deep House' ELSE p_name END AS album,
+  CASE p_partkey % 5 WHEN 0 THEN '2024-04-15' WHEN 1 THEN '5 Apr 2024' WHEN 2 THEN 'December 2023' WHEN 3 THEN ' 2020 ' ELSE 'soon' END AS released
+FROM part"""
+
+#: Answers with one JSON object somewhere in their text.
+NOISE = """SELECT p_partkey AS id, p_size, p_name, concat(CASE p_partkey % 3 WHEN 0 THEN 'Here: ```json ' WHEN 1 THEN 'I think ' ELSE '' END, chr(123), '"size": ', CAST(p_size AS VARCHAR(9)), ', "name": "', p_name, '"', chr(125),
+  CASE p_partkey % 3 WHEN 0 THEN concat(' ``` ', chr(123)) WHEN 1 THEN ' fits.' ELSE '' END) AS answer FROM part"""
+
 VIEWS = {
+    "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
 }

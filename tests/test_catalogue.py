@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lakeshelf.functions import scoring, text
+from lakeshelf.functions import parsing, scoring, text
 from lakeshelf.operators import catalogue, mixing, resolution, state
 from lakeshelf.plans import registry
 
@@ -35,9 +35,24 @@ def test_wheel_key(spark, key, wheel):
     assert one(spark, scoring.wheel_key(F.col("k")), k=key) == wheel
 
 
-@pytest.mark.parametrize(("value", "clean"), [("Title www.site.com", "Title"), ("Track [fordj.com]", "Track"), ("2 | Heart", "Heart"), ("A - B (Original Mix)", "A - B (Original Mix)"), ("httpsx.pro# Song ™", "Song"), ("", "")])
+@pytest.mark.parametrize(
+    ("value", "clean"),
+    [("Night www.pool.net/x", "Night"), ("Night [ pool.zone ] (Dub)", "Night (Dub)"), ("7 | Night", "Night"), ("Ann - Night (Dub Mix)", "Ann - Night (Dub Mix)"), ("httpspool.xyz# Night ™", "Night"), ("Night (https://p.q/r)", "Night"),
+     ("Night, Free  Download", "Night"), ("Exclusive Night", "Night"), ("Night (Exclusive Mix)", "Night (Exclusive Mix)"), ("Mr.Night | For DJs Only", "Mr.Night"), ("pool.de, Night - | - Day", "Night - Day"), ("", ""), (None, None)],
+)
 def test_sanitised(spark, value, clean):
-    assert one(spark, text.sanitised(F.col("v")), v=value) == clean
+    assert one(spark, parsing.sanitised(F.col("v")), v=value) == clean
+
+
+def test_sanitiser_reads_its_rules(spark):
+    rows = spark.createDataFrame([("domain_ends", "zzz"), ("phrases", "bad words")], "field string, value string")
+    config = parsing.from_rows(rows)
+    assert one(spark, parsing.sanitised(F.col("v"), config), v="Bad Words pool.zzz pool.com") == "pool.com" and config.sources == parsing.DEFAULT.sources
+
+
+@pytest.mark.parametrize(("title", "clean"), [("Night (Dub) (dub)", "Night (Dub)"), ("Night [Toolroom Records] 128 bpm", "Night"), ("Night 120", "Night"), ("Night 20", "Night 20")])
+def test_title_for_match(spark, title, clean):
+    assert one(spark, parsing.title_for_match(F.col("t")), t=title) == clean
 
 
 @pytest.mark.parametrize(("title", "parts"), [("Dark (Original Mix)", ("Dark", "Original Mix")), ("Dark - Extended Mix", ("Dark", "Extended Mix")), ("Song (feat. X)", ("Song (feat. X)", "")), ("Dark (1)", ("Dark (1)", ""))])
