@@ -137,3 +137,49 @@ def test_exact_dedup(spark, documents, awkward, least, monkeypatch):
 
 def test_exact_dedup_of_nothing(nothing):
     assert exact_dedup.exact_dedup(nothing).collect() == []
+
+
+def reachable(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def top(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        parent[top(a)] = top(b)
+    return top
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_runs_lose_no_pair(monkeypatch, seed):
+    """Every pair of one signature and similar sizes is in a list, tied, or left to an earlier signature."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(ngram_join, "RUN", int(rng.integers(2, 12)))
+    m = int(rng.integers(1, 300))
+    sig, n, doc, before = rng.integers(0, 6, m), rng.integers(10, 60, m), np.arange(m) + 100, rng.integers(0, 3, m)
+    parts = [ngram_join.combined(sig[a : a + 60], doc[a : a + 60], n[a : a + 60], before[a : a + 60]) for a in range(0, m, 60)]
+    rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.lexsort((rows[1], rows[2], rows[0]))
+    rows, runs, step = [x[order] for x in rows], ngram_join.Runs(), int(rng.integers(1, 50))
+    together, ties = set(), []
+    for at in [*range(0, len(order), step), None]:
+        docs, lengths, tied = runs.lists(None if at is None else [x[at : at + step] for x in rows])
+        for part, tie in zip(np.split(docs, np.cumsum(lengths))[:-1], tied, strict=True):
+            assert len(part) <= max(2, ngram_join.RUN)
+            if tie:
+                ties.append(tuple(part))
+            together |= {(a, b) for a in part for b in part}
+    top = reachable(ties, doc)
+    for i in range(m):
+        for j in range(i):
+            if sig[i] == sig[j] and 3 * max(n[i], n[j]) <= 4 * min(n[i], n[j]) and not before[i] == before[j] != 0:
+                assert (doc[i], doc[j]) in together or top(doc[i]) == top(doc[j])
+
+
+def test_large_blocks_are_counted_in_parts(monkeypatch):
+    sets = [np.unique(np.random.default_rng(k // 2).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)) for k in range(8)]
+    want = ngram_join.intersections(sets)
+    monkeypatch.setattr(ngram_join, "MOST_TOKENS", 300)
+    assert (ngram_join.intersections(sets) == want).all() and want[0, 1] == len(sets[0])
