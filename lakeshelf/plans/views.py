@@ -56,8 +56,16 @@ FROM part"""
 NOISE = """SELECT p_partkey AS id, p_size, p_name, concat(CASE p_partkey % 3 WHEN 0 THEN 'Here: ```json ' WHEN 1 THEN 'I think ' ELSE '' END, chr(123), '"size": ', CAST(p_size AS VARCHAR(9)), ', "name": "', p_name, '"', chr(125),
   CASE p_partkey % 3 WHEN 0 THEN concat(' ``` ', chr(123)) WHEN 1 THEN ' fits.' ELSE '' END) AS answer FROM part"""
 
+#: A file's old and new name, which differ in nothing, a version, a leading number or the artists.
+PAIRS = """SELECT p_partkey AS id, concat('/lib/', p_brand, ' - ', p_name, CASE p_partkey % 4 WHEN 0 THEN ' (Original Mix)' WHEN 1 THEN ' Re Edit' ELSE '' END, '.mp3') AS old_path,
+  concat('/new/', p_brand, CASE p_partkey % 7 WHEN 0 THEN ', Ann & Bob' WHEN 1 THEN ' feat. Ann' ELSE '' END, ' - ', CASE p_partkey % 5 WHEN 0 THEN '7 ' ELSE '' END, p_name,
+    CASE p_partkey % 3 WHEN 0 THEN ' (Original Mix)' WHEN 1 THEN ' (Re-Edit)' ELSE '' END, CASE p_partkey % 11 WHEN 0 THEN '.wav' ELSE '.mp3' END) AS new_path,
+  CASE p_partkey % 6 WHEN 0 THEN 0.79e0 WHEN 1 THEN 0.9e0 ELSE 0.97e0 END AS score, CASE p_partkey % 8 WHEN 0 THEN 0.8e0 ELSE 1e0 END AS overlap,
+  CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 0.05e0 ELSE 0.001e0 END AS off
+FROM part"""
+
 VIEWS = {
-    "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
+    "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
 }
