@@ -169,13 +169,51 @@ def relocations(old: DataFrame, new: DataFrame, least: float = 0.7, most_off: fl
     return rows.groupBy("old_id").agg(F.min_by(F.struct("new_id", "overlap", "off"), F.struct(-F.col("overlap"), F.col("off"), F.col("new_id"))).alias("b")).select("old_id", "b.*")
 
 
-def sequence_ratio(left: Column, right: Column) -> Column:
-    """The share of matching blocks of two texts, 0 if either is empty; it isn't an edit distance."""
+def common_length(codes: np.ndarray, starts: np.ndarray, length: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The longest common subsequences of pairs of texts (numbers into starts and length), all pairs at a time."""
+    wide = int(max(length[one].max(initial=0), length[other].max(initial=0)))
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    def letters(which: np.ndarray, pad: int) -> np.ndarray:
+        at = starts[which][:, None] + np.arange(wide)
+        return np.where(np.arange(wide) < length[which][:, None], codes[np.minimum(at, len(codes) - 1)].astype(np.int64), pad)
+
+    a, b = letters(one, -1), letters(other, -2)
+    best = np.zeros((len(one), wide + 1), np.int32)
+    for k in range(wide):
+        best[:, 1:] = np.maximum.accumulate(np.maximum(best[:, 1:], best[:, :-1] + (a[:, k : k + 1] == b)), axis=1)
+    return best[:, -1]
+
+
+def sequence_ratio(left: Column, right: Column, least: float = 0.0) -> Column:
+    """The share of matching blocks of two texts, 0 if either is empty or it can't exceed `least`; it isn't an edit distance.
 
-    return F.pandas_udf(ratio, "double")(left, right)
+    No more characters can match than both texts have, character by character, nor than their longest common
+    subsequence has; both bounds are taken for a whole batch at once, and only pairs beyond them are compared block by block.
+    """
+
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        place, texts = pd.factorize(pd.concat([a, b]))
+        one, other = place.reshape(2, -1)
+        length = np.array([len(t) for t in texts], np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        letters, code = np.unique(codes, return_inverse=True)
+        owner, sizes, out = np.repeat(np.arange(len(texts)), length), length[one] + length[other], np.zeros(len(a))
+        bound = np.zeros(len(a), np.int64)
+        for first in range(0, len(letters), 64):  # a few letters at a time
+            some = (code >= first) & (code < first + 64)
+            counts = np.bincount(owner[some] * 64 + code[some] - first, minlength=64 * len(texts)).reshape(-1, 64).astype(np.uint16)
+            bound += np.minimum(counts[one], counts[other]).sum(axis=1, dtype=np.int64)
+        open_ = np.flatnonzero((2 * bound > least * sizes) & (length[one] > 0) & (length[other] > 0))
+        starts = np.cumsum(length) - length
+        if least > 0 and len(open_):
+            for part in np.array_split(open_, -(-len(open_) * int(length.max()) // 1_000_000)):
+                bound[part] = common_length(codes, starts, length, one[part], other[part])
+            open_ = open_[2 * bound[open_] > least * sizes[open_]]
+        for k in open_:
+            out[k] = difflib.SequenceMatcher(None, texts[one[k]], texts[other[k]]).ratio()
+        return pd.Series(out)
+
+    return F.pandas_udf(ratio, "double")(F.coalesce(left, F.lit("")), F.coalesce(right, F.lit("")))
 
 
 def fuzzy_renames(old: DataFrame, new: DataFrame, least: float = 0.85, most_off: float = 0.05) -> DataFrame:
@@ -187,10 +225,10 @@ def fuzzy_renames(old: DataFrame, new: DataFrame, least: float = 0.85, most_off:
     step = F.lit(float(most_off) * 1.1)
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.where("filesize_bytes > 0").select(F.col("id").alias(f"{name}_id"), F.col("filepath").alias(f"{name}_path"), F.col("filesize_bytes").alias(f"{name}_size"), text.extension(F.col("filepath")).alias("ext"), F.floor(F.ln("filesize_bytes") / step).alias("size_class"))
+        return rows.where("filesize_bytes > 0").select(F.col("id").alias(f"{name}_id"), F.col("filepath").alias(f"{name}_path"), F.col("filesize_bytes").alias(f"{name}_size"), text.extension(F.col("filepath")).alias("ext"), F.floor(F.ln("filesize_bytes") / step).alias("size_class"), text.audit_name(F.col("filepath")).alias(f"{name}_name"))
 
     o, n = side(old, "old"), side(new, "new")
     o = o.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + d for d in (-1, 0, 1)])))
     rows = o.join(n, ["ext", "size_class"]).where((F.col("old_path") != F.col("new_path")) & (scoring.size_difference(F.col("old_size"), F.col("new_size")) < most_off))
-    rows = rows.withColumn("similarity", sequence_ratio(text.audit_name(F.col("old_path")), text.audit_name(F.col("new_path"))))
+    rows = rows.withColumn("similarity", sequence_ratio(F.col("old_name"), F.col("new_name"), least))
     return rows.where(F.col("similarity") > least).select("old_id", "new_id", "similarity")

@@ -1,6 +1,6 @@
 """All queries of the catalogue with their SQL."""
 
-from lakeshelf.plans import auditing, parsing
+from lakeshelf.plans import auditing, parsing, reviewing
 from lakeshelf.plans.catalogue import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "auditing", "parsing"]
+__all__ = ["ORACLE_SQL", "QUERIES", "auditing", "parsing", "reviewing"]

@@ -64,7 +64,22 @@ PAIRS = """SELECT p_partkey AS id, concat('/lib/', p_brand, ' - ', p_name, CASE
   CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 0.05e0 ELSE 0.001e0 END AS off
 FROM part"""
 
+#: Queue entries of tracks with what is proposed for them, and candidates from elsewhere with similarities.
+QUEUE = """SELECT p_partkey * 10 AS item_id, CASE p_partkey % 23 WHEN 0 THEN NULL WHEN 1 THEN p_partkey + 1 WHEN 2 THEN p_partkey + 100000000 ELSE p_partkey END AS track_id,
+  CASE p_partkey % 19 WHEN 0 THEN '' ELSE concat(CASE p_partkey % 5 WHEN 0 THEN '' ELSE '/lib' END, '/', substr(p_brand,7,1), '/', p_brand, '/', p_name, ' ', CAST(p_partkey % 400 AS VARCHAR(10)),
+    CASE p_partkey % 4 WHEN 0 THEN '.mp3' WHEN 1 THEN '.flac' WHEN 2 THEN '.wav' ELSE '.m4a' END) END AS filepath,
+  CASE p_partkey % 3 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'high' ELSE 'HIGH' END AS confidence, CASE p_partkey % 8 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' WHEN 2 THEN 'applied' ELSE 'approved' END AS status,
+  CASE p_partkey % 29 WHEN 0 THEN '4A' WHEN 1 THEN '' ELSE p_brand END AS proposed_artist, p_name AS proposed_title, CASE p_partkey % 2 WHEN 0 THEN 'Deep House' ELSE NULL END AS proposed_genre,
+  CASE p_partkey % 4 WHEN 0 THEN 'wrong track' ELSE NULL END AS reason FROM part"""
+CANDIDATES = """SELECT l_orderkey AS track_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS candidate,
+  CASE l_partkey % 3 WHEN 0 THEN 'Night (Original Mix)' ELSE 'Night' END AS title, CASE l_suppkey % 4 WHEN 0 THEN 'Night (Original Mix)' WHEN 1 THEN 'Night [Dub]' ELSE 'Night' END AS c_title,
+  CASE l_partkey % 41 WHEN 0 THEN 'ab1' ELSE '' END AS isrc, CASE l_partkey % 2 WHEN 0 THEN ' AB1' ELSE NULL END AS c_isrc,
+  CASE WHEN l_quantity > 20 THEN 1e0 ELSE 0.9e0 END AS title_sim, CASE WHEN l_suppkey % 7 = 0 THEN 0.82e0 ELSE 0.95e0 END AS artist_sim, CASE WHEN l_partkey % 5 = 0 THEN 0e0 ELSE 1e0 END AS version_sim,
+  CASE WHEN l_partkey % 6 = 0 THEN 0.8e0 ELSE 0.3e0 END AS label_sim, l_partkey % 10 = 0 AS same_alias FROM lineitem"""
+JOBS = """SELECT event_id AS id, user_id AS job, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'succeeded' WHEN 'purchase' THEN 'failed' ELSE 'other' END AS state, ts AS since FROM events"""
+
 VIEWS = {
+    "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
     "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),

@@ -1,14 +1,17 @@
 """Rules by literal cases, and every query against DuckDB on the smallest tables."""
 
+import difflib
 import math
 import os
+import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lakeshelf.functions import parsing, scoring, text
-from lakeshelf.operators import catalogue, mixing, resolution, state
+from lakeshelf.operators import catalogue, matching, mixing, resolution, state
 from lakeshelf.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -152,3 +155,44 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(str([value(dict(zip(names, r, strict=True))[c]) for c in columns]) for r in found.fetchall())
     assert got == want
+
+
+def test_match_scores_equal_brute_force(spark):
+    rows = [("The Night", "Night", "Ann, Bob", "bob"), ("Night (Dub) 128bpm", "night [dub mix]", "Ann & Bob", "Ann & Cy"), ("A", "B", "", "Ann"), ("Long Day", "Long Bay", "Ann", "Anna"), ("Night (Radio Edit)", "Night", None, None)]
+    df = spark.createDataFrame([(*r, "L Records", "L Record") for r in rows], "title string, c_title string, artist string, c_artist string, label string, c_label string")
+    got = matching.compared(df).collect()
+
+    def form(s):
+        s = re.sub(r"[^\w\s]", " ", re.sub(r"['’`]s\b", "s", (s or "").lower()))
+        return " ".join(re.sub(r"\b(?:the|a|an)\b\s*", "", s).split())
+
+    def alike(a, b):
+        x, y = form(a), form(b)
+        return 0.0 if not x or not y else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+
+    def split(s):
+        return {form(p) for p in re.split(r"\s*(?:,|&|\bfeat\b\.?|\bft\b\.?|\bvs\b\.?|\bx\b)\s*", s or "") if p.strip()}
+
+    for r, row in zip(got, rows, strict=True):
+        direct, a, b = alike(row[2], row[3]), split(row[2]), split(row[3])
+        assert r["artist_sim"] == pytest.approx(direct if direct >= 0.85 or not a or not b else 0.88 if b <= a else 0.82 if a & b else direct)
+    assert [r["title_sim"] for r in got] == pytest.approx([1.0, 1.0, 0.0, alike("Long Day", "Long Bay"), 1.0])
+    assert [r["version_sim"] for r in got] == [1.0, 0.0, 1.0, 1.0, 0.0]
+
+
+def test_fuzzy_renames_equal_brute_force(spark):
+    rng, rows = random.Random(3), []
+    for k in range(120):
+        name = f"{rng.choice(('cold', 'gold', 'old', 'blue'))} {rng.choice(('widget', 'gadget', 'bolt'))} {rng.randrange(30)}"
+        rows.append((k, f"/{k % 7}/{name}.{rng.choice(('mp3', 'wav'))}", 1000 + rng.randrange(120)))
+    df = spark.createDataFrame(rows, "id long, filepath string, filesize_bytes long")
+    got = {(r["old_id"], r["new_id"]): r["similarity"] for r in resolution.fuzzy_renames(df.where("id % 4 = 0"), df).collect()}
+    want = {}
+    for a in rows[::4]:
+        for b in rows:
+            names = [re.sub(r"[^a-z0-9]+", " ", os.path.splitext(os.path.basename(x[1]))[0]).strip() for x in (a, b)]
+            same = a[1] != b[1] and a[1][-3:] == b[1][-3:] and abs(a[2] - b[2]) / a[2] < 0.05
+            ratio = difflib.SequenceMatcher(None, *names).ratio()
+            if same and ratio > 0.85:
+                want[a[0], b[0]] = ratio
+    assert got == pytest.approx(want) and len(want) > 20
