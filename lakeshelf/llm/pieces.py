@@ -3,7 +3,8 @@
 Text is normalised by the longest-prefix rule of the model's compiled character map, and every normalised byte records
 where it comes from, so each piece is projected to a span of the original UTF-8 bytes. Normalised text is cut before
 each run of ▁; as no piece goes on past the start of such a run, the library encodes every distinct cut once and its
-answer is remembered.
+answer is remembered. With an empty map no prefix is ever longer than its own character, so a whole text is aligned at
+once; with a map it is walked character by character.
 """
 
 from __future__ import annotations
@@ -65,6 +66,12 @@ class Normaliser:
         self.plain = self.prefix and self.escape and not self.trim and not self.map.units
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
+        if self.plain:
+            data = np.frombuffer(text.encode(), np.uint8)
+            widths = np.where(data == 0x20, len(SPACE.encode()), 1)
+            if not len(data):
+                return "", np.zeros(1, np.int64)
+            return SPACE + text.replace(" ", SPACE), np.concatenate([[0] * len(SPACE.encode()), np.repeat(np.arange(len(data)), widths), [len(data)]])
         data, out, source, at = text.encode(), bytearray(), [], 0
         parts = []  # (replacement, start, end) by the longest-prefix rule
         while at < len(data):
@@ -116,44 +123,37 @@ class PieceCodec:
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*")
         self.begin, self.end = ([x] if x >= 0 else [] for x in (self.model.bos_id(), self.model.eos_id()))
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, ends) of each text, begin and end ids included: piece k covers bytes ends[k - 1] to ends[k]."""
-        return [self.encoded_by_cut(t) if self.by_cut and SPACE not in t else self.encoded_whole(t) for t in texts]
-
-    def learn(self, texts: list[str]) -> None:
-        """Have the library encode all cuts of the texts that aren't known."""
+    def learn(self, normal: list[str]) -> None:
+        """Have the library encode all cuts of normalised texts that aren't known."""
         if len(self.cuts) > MOST_CUTS:
             self.cuts.clear()
-        new = {c for t in texts for c in self.cut.findall(SPACE + t.replace(" ", SPACE))}.difference(self.cuts) if self.by_cut else ()
-        new = list(new)
+        new = list({c for t in normal for c in self.cut.findall(t)}.difference(self.cuts))
         plain = [c[1:].replace(SPACE, " ") for c in new]
         for cut, ids in zip(new, self.model.encode(plain, num_threads=1) if new else (), strict=True):
             self.cuts[cut] = np.array(ids, "<u4").tobytes()
         # a cut of one ▁ is an empty text to the library, which gives no ids
-        if self.by_cut and SPACE in self.cuts:
+        if SPACE in self.cuts:
             self.cuts[SPACE] = np.array([self.model.piece_to_id(SPACE)], "<u4").tobytes()
 
-    def framed(self, ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([self.begin, ids, self.end]).astype("<u4"), np.concatenate([[0] * len(self.begin), ends, [size] * len(self.end)]).astype("<u4")
-
-    def encoded_by_cut(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known = self.cuts
-        ids = np.frombuffer(b"".join([known[c] for c in self.cut.findall(SPACE + text.replace(" ", SPACE))]) if text else b"", "<u4")
-        data = np.frombuffer(text.encode(), np.uint8)
-        ends = np.cumsum(self.lengths[ids], dtype=np.int64)
-        spaces = np.flatnonzero(data == 0x20)
-        passed = np.searchsorted(spaces + 2 * np.arange(len(spaces)) + 6, ends, "right")  # each ▁ has two bytes more than its space
-        return self.framed(ids, ends - 3 - 2 * passed, len(data))
-
-    def encoded_whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        normal, source = self.normaliser.normalised(text)
-        ids = np.array(self.model.encode(text), np.int64)
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ends) of each text, begin and end ids included: piece k covers bytes ends[k - 1] to ends[k]."""
+        aligned = [self.normaliser.normalised(t) for t in texts]
+        cut = [self.by_cut and SPACE not in t for t in texts]  # the library trims no ▁ that the text itself has
+        self.learn([normal for (normal, _), whole in zip(aligned, cut, strict=True) if whole])
+        return [self.projected(t, *a, whole) for t, a, whole in zip(texts, aligned, cut, strict=True)]
+
+    def projected(self, text: str, normal: str, source: np.ndarray, by_cut: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and where each ends in the original: at the byte that the first normalised byte after it comes from."""
+        if by_cut:
+            ids = np.frombuffer(b"".join([self.cuts[c] for c in self.cut.findall(normal)]), "<u4")
+        else:
+            ids = np.array(self.model.encode(text), np.int64)
         lengths = self.lengths[ids].astype(np.int64)
-        if lengths.sum() != len(normal.encode()):  # pieces without a fixed text: take their surfaces from the library
-            pieces = self.model.encode(text, return_type="proto").pieces
-            lengths = np.array([len(p.piece.encode()) for p in pieces], np.int64)
+        if not by_cut and lengths.sum() != len(source) - 1:  # pieces without a fixed text: take their surfaces from the library
+            lengths = np.array([len(p.piece.encode()) for p in self.model.encode(text, return_type="proto").pieces], np.int64)
         ends = source[np.minimum(np.cumsum(lengths), len(source) - 1)] if len(ids) else np.zeros(0, np.int64)
-        return self.framed(ids, ends, len(text.encode()))
+        size = int(source[-1]) if self.normaliser.plain else len(text.encode())
+        return np.concatenate([self.begin, ids, self.end]).astype("<u4"), np.concatenate([[0] * len(self.begin), ends, [size] * len(self.end)]).astype("<u4")
 
 
 @lru_cache(maxsize=2)
@@ -168,7 +168,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     ids are the library's, with its begin and end ids and without sampling; piece k covers the original UTF-8 bytes
     from ends[k - 1] (0 for the first) to ends[k], so the spans cover the whole text in order. decoded is the library's
     decoding of ids. Null texts count as empty, which have the begin and end ids only; repeated rows each get their
-    row, an empty table gives none, and only the id and text columns are read.
+    row, an empty table gives none, and only the id and text columns are read. Ties between segmentations are the
+    library's. Very long texts are encoded whole; their alignment takes eight bytes for each of theirs.
     """
 
     def run(batches):
@@ -177,7 +178,6 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part["text"].to_pylist()
-                codec.learn(texts)
                 found = codec.encode(texts)
                 decoded = [codec.model.decode(ids.tolist()) for ids, _ in found]
                 yield pa.RecordBatch.from_arrays(
@@ -190,10 +190,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded rows."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the digest of the pieces' ends, of encoded rows."""
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2("ends", 256).alias("ends_sha256"),
     )

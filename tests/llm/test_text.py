@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -245,6 +246,43 @@ def test_longest_prefix_of_a_character_map():
     assert len(source) == len(text.encode()) + 1 and (np.diff(source) >= 0).all()
 
 
+def compiled_map(rules):
+    """A compiled character map of {prefix: replacement}: each node of the trie has 256 units of its own."""
+    texts, units, bases = b"", {}, {}
+    nodes = {b""} | {k[:n] for k in rules for n in range(1, len(k) + 1)}
+    for at, node in enumerate(sorted(nodes)):
+        bases[node] = 256 * (at + 1)
+    places = {b"": 0} | {node: bases[node[:-1]] + node[-1] for node in nodes if node}
+    for node, place in places.items():
+        units[place] = (place ^ bases[node]) << 10 | (node[-1] if node else 0) | (1 << 8 if node in rules else 0)
+    for key, new in rules.items():
+        units[bases[key]] = 1 << 31 | len(texts)
+        texts += new + b"\0"
+    size = 256 * (len(nodes) + 1)
+    return struct.pack(f"<I{size}I", 4 * size, *[units.get(k, 0x80000080) for k in range(size)]) + texts
+
+
+def test_compiled_map_takes_the_longest_prefix():
+    rules = {"ﬁ".encode(): b"fi", b"a": b"b", b"ab": b"XY", b"abc": b"", "é".encode(): "e\u0301".encode(), b"  ": b" "}
+    found = pieces.CharacterMap(compiled_map(rules))
+    rng, pool = random.Random(7), "abcxﬁé  "
+    for _ in range(300):
+        data = "".join(rng.choice(pool) for _ in range(rng.randint(1, 8))).encode()
+        for at in range(len(data)):
+            want = max((k for k in rules if data.startswith(k, at)), key=len, default=b"")
+            assert found.longest(data, at) == (len(want), rules.get(want, b""))
+
+
+def test_alignment_through_a_compiled_map():
+    class Spec:
+        precompiled_charsmap = compiled_map({"ﬁ".encode(): b"fi", b"ab": b"X", b"z": b""})
+        add_dummy_prefix, escape_whitespaces, remove_extra_whitespaces = True, True, False
+
+    normal, source = pieces.Normaliser(Spec).normalised("cﬁ abzd")
+    assert normal == "▁cfi▁Xd"
+    assert source.tolist() == [0, 0, 0, 0, 1, 1, 4, 4, 4, 5, 8, 9]  # ▁ c f i ▁ X d, and the end
+
+
 # packing
 
 
