@@ -33,12 +33,12 @@ def keyed(key: str, tag: str, value: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{tag}|"), value).cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tag: str) -> Column:
-    """struct<l, r>: a keyed permutation of [0, left_size) x [0, right_size); its halves take turns."""
+def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tag: str, beside: Column | None = None) -> Column:
+    """struct<l, r>: a keyed permutation of [0, left_size) x [0, right_size), another for each text beside; its halves take turns."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
     def step(state: Column, k: Column) -> Column:
-        even, named = k % 2 == 0, F.concat(k.cast("string"), F.lit("|"), left_size.cast("string"), F.lit("|"), right_size.cast("string"), F.lit("|"))
+        even, named = k % 2 == 0, F.concat(k.cast("string"), F.lit("|"), left_size.cast("string"), F.lit("|"), right_size.cast("string"), F.lit("|"), beside if beside is not None else F.lit(""))
         moved = keyed(key, tag, F.concat(named, F.when(even, state["r"]).otherwise(state["l"]).cast("string")))
         return F.struct(
             F.when(even, F.pmod(state["l"] + F.pmod(moved, left_size), left_size)).otherwise(state["l"]).cast("long").alias("l"),
@@ -62,6 +62,32 @@ def permuted_digits(digits: Column, key: str, tag: str) -> Column:
     return F.element_at(whole, 1)
 
 
+def filled(number: Column, length: int) -> Column:
+    return F.lpad(number.cast("string"), length, "0")
+
+
+def permuted_ssn(digits: Column, key: str) -> Column:
+    """Another valid number: areas 001 to 899 but 666, groups from 01 and serials from 0001 on are numbered through and permuted."""
+    area, group, serial = (digits.substr(a, n).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+    new = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
+    return F.element_at(F.transform(F.array(new), lambda x: F.concat(filled(x["l"] + F.when(x["l"] >= 665, 2).otherwise(1), 3), filled(F.floor(x["r"] / 9999) + 1, 2), filled(x["r"] % 9999 + 1, 4))), 1)
+
+
+def permuted_phone(digits: Column, key: str) -> Column:
+    """Another number of ten digits: area and exchange from 200 on stay so; of other numbers their first digits stay."""
+    area, exchange, line = (digits.substr(a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
+    usual = feistel(area - 200, (exchange - 200) * 10_000 + line, F.lit(800), F.lit(8_000_000), key, "phone")
+    first = F.concat(digits.substr(1, 1), digits.substr(4, 1))
+    other = feistel(area % 100, exchange % 100 * 10_000 + line, F.lit(100), F.lit(1_000_000), key, "phone", first)
+
+    def shown(x: Column, base: Column, more: Column) -> Column:
+        return F.concat(filled(x["l"] + base, 3), filled(F.floor(x["r"] / 10_000) + more, 3), filled(x["r"] % 10_000, 4))
+
+    return F.when((area >= 200) & (exchange >= 200), F.element_at(F.transform(F.array(usual), lambda x: shown(x, F.lit(200), F.lit(200))), 1)).otherwise(
+        F.element_at(F.transform(F.array(other), lambda x: shown(x, area - area % 100, exchange - exchange % 100)), 1)
+    )
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
@@ -121,7 +147,7 @@ def pseudonym(value: Column, key: str) -> Column:
     """The replacement of a match: of the same format, the same for equal values; the value itself if it isn't valid."""
     digits = digits_of(value)
     last10 = digits.substr(F.length(digits) - 9, F.lit(10))
-    phone = refilled(value, F.concat(digits.substr(F.lit(1), F.length(digits) - 10), permuted_digits(last10, key, "phone")))
+    phone = refilled(value, F.concat(digits.substr(F.lit(1), F.length(digits) - 10), permuted_phone(last10, key)))
     octet = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     address = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], F.lit(65536), F.lit(65536), key, "ip")
     ip = F.element_at(F.transform(F.array(address), lambda x: F.concat_ws(".", F.floor(x["l"] / 256), x["l"] % 256, F.floor(x["r"] / 256), x["r"] % 256)), 1)
@@ -141,7 +167,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(kind == "phone", phone)
         .when(kind == "ip", ip)
         .when(kind == "date", date)
-        .when(kind == "ssn", refilled(value, permuted_digits(digits, key, "ssn")))
+        .when(kind == "ssn", refilled(value, permuted_ssn(digits, key)))
         .when(kind == "iban", iban)
         .when(kind == "card", card)
         .otherwise(value)
@@ -163,7 +189,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     start and end are code points in the original text, end exclusive; value is the original. Matches are leftmost and
     non-overlapping over the whole text; those that fail their check stay and aren't counted. Empty texts stay empty,
     repeated rows each get their row, an empty table gives none, and only the id and text columns are read. Different
-    kinds have different permutations. E-mail names have no fixed format to permute and get a keyed hash.
+    kinds have different permutations, under which valid numbers and dates stay valid. E-mail names have no fixed format
+    to permute and get a keyed hash; the letters of an IBAN stay. Of matches at one place the first kind of PATTERNS is
+    taken. A very long text is scanned whole, in one row.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

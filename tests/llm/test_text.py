@@ -195,6 +195,47 @@ def test_pii_of_awkward_rows(awkward, nothing):
     assert pii.pseudonymise(nothing, "k").collect() == []
 
 
+def plain_feistel(left, right, sizes, key, tag, beside=""):
+    """The permutation, written as a loop over hashlib."""
+    halves = [left, right]
+    for k in range(pii.ROUNDS):
+        seen = f"{key}|{tag}|{k}|{sizes[0]}|{sizes[1]}|{beside}{halves[(k + 1) % 2]}"
+        moved = int(hashlib.sha256(seen.encode()).hexdigest()[:15], 16)
+        halves[k % 2] = (halves[k % 2] + moved % sizes[k % 2]) % sizes[k % 2]
+    return halves
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    rng = random.Random(9)
+    ssn = [f"{a:03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}" for a in (1, 665, 667, 899, *rng.sample(range(1, 665), 40))]
+    phone = [f"({rng.randint(0, 999):03}) {rng.randint(0, 999):03}-{rng.randint(0, 9999):04}" for _ in range(60)]
+    days = [f"{rng.randint(1800, 2199)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" for _ in range(30)]
+    values = ssn + phone + days
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym(F.col("v"), "k").alias("p")).collect()
+    want = []
+    for v in ssn:
+        a, g, n = map(int, v.split("-"))
+        left, r = plain_feistel(a - (2 if a > 666 else 1), (g - 1) * 9999 + n - 1, (898, 99 * 9999), "k", "ssn")
+        want.append(f"{left + (2 if left >= 665 else 1):03}-{r // 9999 + 1:02}-{r % 9999 + 1:04}")
+    for v in phone:
+        d = re.sub(r"\D", "", v)
+        a, x, n = int(d[:3]), int(d[3:6]), int(d[6:])
+        if a >= 200 and x >= 200:
+            left, r = plain_feistel(a - 200, (x - 200) * 10_000 + n, (800, 8_000_000), "k", "phone")
+            left, r = left + 200, r + 2_000_000
+        else:
+            left, r = plain_feistel(a % 100, x % 100 * 10_000 + n, (100, 1_000_000), "k", "phone", d[0] + d[3])
+            left, r = left + a - a % 100, r + (x - x % 100) * 10_000
+        want.append(f"({left:03}) {r // 10_000:03}-{r % 10_000:04}")
+    first = datetime.date(1800, 1, 1)
+    for v in days:
+        day = (datetime.date.fromisoformat(v) - first).days
+        left, r = plain_feistel(day // 773, day % 773, (189, 773), "k", "date")
+        want.append(str(first + datetime.timedelta(left * 773 + r)))
+    assert [r["p"] for r in rows] == want
+    assert all(1 <= int(p[:3]) <= 899 and p[:3] != "666" and p[4:6] != "00" and p[7:] != "0000" for p in want[: len(ssn)])
+
+
 # pieces
 
 
