@@ -2,8 +2,9 @@
 
 Three kinds of base match are found in every whole text, and besides them long mixed tokens as mere candidates. The
 hashes of all candidate values are aggregated over the corpus by distinct repositories and owners. Values that several
-owners have are widely copied examples; a value of one owner looks live. Mixed tokens of one owner that no base match
-covers are added as spans of kind `owned`; base spans always stay.
+owners have are widely copied examples, those that one owner has in many repositories are its own samples, and a value
+of one owner in few repositories looks live. Mixed tokens that look live and that no base match covers are added as
+spans of kind `owned`; base spans always stay.
 """
 
 from __future__ import annotations
@@ -24,12 +25,18 @@ KINDS = {
     "owned": (r"[A-Za-z0-9_+/=-]{20}", r"[A-Za-z0-9_+/=-]{20,}", 0, 20),
 }
 BASE = ("assign", "access", "hex")
-#: Owners from which on a value counts as copied.
-COPIED_OWNERS = 2
+#: Owners from which on a value counts as copied; repositories of one owner up to which it looks live; distinct
+#: characters of a mixed token without small and capital letters, as words and counters run together have few.
+COPIED_OWNERS, LIVE_REPOSITORIES, LEAST_CHARACTERS = 2, 20, 12
 
 FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string,h:bigint>>"
 
 
+def varied(value: Column) -> Column:
+    """Small and capital letters and digits, or many distinct characters, as random values have."""
+    return (value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")) | (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_CHARACTERS)
+
+
 def matches(text: Column) -> Column:
     """All matches of all kinds as FOUND, ordered by start and kind; h is the hash of the candidate value."""
 
@@ -37,7 +44,7 @@ def matches(text: Column) -> Column:
         test, pattern, group, least = KINDS[kind]
         found = F.filter(spans(text, pattern, group), lambda m: F.char_length(m["part"]) >= least)
         if kind == "owned":
-            found = F.filter(found, lambda m: m["part"].rlike("[0-9]") & m["part"].rlike("[A-Za-z]"))
+            found = F.filter(found, lambda m: m["part"].rlike("[0-9]") & m["part"].rlike("[A-Za-z]") & varied(m["part"]))
         shaped = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.xxhash64(m["part"]).alias("h")))
         return F.when(text.rlike(test), shaped).otherwise(F.array().cast(FOUND))
 
@@ -67,7 +74,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     repo_col names the repository of a row (the id if None). Owners that are null own nothing: a value that only such
     rows have has 0 owners and counts as neither copied nor owned. Null and empty texts have no matches, repeated rows
     each get their row but count as one repository, an empty table gives no rows, and only the named columns are read.
-    Positions are code points of the whole text, end exclusive.
+    Positions are code points of the whole text, end exclusive. Equal matches at one place are ordered by kind. A very
+    long text is scanned whole; its matches are one row.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -89,8 +97,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def summary(scanned: DataFrame) -> DataFrame:
-    """Counts and span lists of scanned rows; an `owned` candidate counts as a span only where one owner has it."""
-    found = F.filter("found", lambda m: (m["kind"] != "owned") | (m["owners"] == 1))
+    """Counts and span lists of scanned rows; an `owned` candidate counts as a span only where it looks live."""
+
+    def live(m: Column) -> Column:
+        return (m["owners"] == 1) & (m["repositories"] <= LIVE_REPOSITORIES)
+
+    found = F.filter("found", lambda m: (m["kind"] != "owned") | live(m))
     rows = scanned.select("doc_id", found.alias("found")).withColumn("base", F.filter("found", lambda m: m["kind"] != "owned"))
 
     def count(test) -> Column:
@@ -99,8 +111,10 @@ def summary(scanned: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         *[F.size(F.array_remove(F.transform("found", lambda m: m["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in KINDS],
-        count(lambda m: (m["kind"] != "owned") & (m["owners"] == 1)).alias("n_live"),
+        count(lambda m: (m["kind"] != "owned") & live(m)).alias("n_live"),
+        count(lambda m: (m["kind"] != "owned") & (m["owners"] == 1) & (m["repositories"] > LIVE_REPOSITORIES)).alias("n_samples"),
         count(lambda m: (m["kind"] != "owned") & (m["owners"] >= COPIED_OWNERS)).alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("found", lambda m: m["repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
         F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         shown(F.col("found")).alias("spans"),
     )
@@ -118,15 +132,16 @@ u AS (SELECT r, kind, rank, c[i] AS c, length(v[i]) AS n, least,
   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0) AS s
   FROM a, unnest(range(1, len(v) + 1)) AS q(i)),
 m AS (SELECT r, kind, rank, c, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM u WHERE length(c) >= least
-  AND (kind <> 'owned' OR (regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Za-z]')))),
+  AND (kind <> 'owned' OR (regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Za-z]') AND (regexp_matches(c, '[a-z]') AND regexp_matches(c, '[A-Z]') OR len(list_distinct(string_split(c, ''))) >= {LEAST_CHARACTERS})))),
 k AS (SELECT * FROM m WHERE kind <> 'owned' OR NOT EXISTS (SELECT 1 FROM m b WHERE b.r = m.r AND b.kind <> 'owned' AND b.s < m.e AND m.s < b.e)),
-f AS (SELECT c, count(DISTINCT source) AS owners FROM k JOIN d USING (r) GROUP BY c),
-x AS (SELECT r, kind, rank, s, e, owners FROM k JOIN f USING (c) WHERE kind <> 'owned' OR owners = 1),
+o AS (SELECT c, source, count(DISTINCT doc_id) AS repos FROM k JOIN d USING (r) GROUP BY ALL),
+f AS (SELECT c, count(source) AS owners, CAST(sum(repos) AS BIGINT) AS repositories FROM o GROUP BY c),
+x AS (SELECT r, kind, rank, s, e, owners, repositories, owners = 1 AND repositories <= {LIVE_REPOSITORIES} AS live FROM k JOIN f USING (c) WHERE kind <> 'owned' OR (owners = 1 AND repositories <= {LIVE_REPOSITORIES})),
 z AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-  count(*) FILTER (kind = 'owned') AS n_owned, count(*) FILTER (kind <> 'owned' AND owners = 1) AS n_live, count(*) FILTER (kind <> 'owned' AND owners >= {COPIED_OWNERS}) AS n_copied,
+  count(*) FILTER (kind = 'owned') AS n_owned, count(*) FILTER (kind <> 'owned' AND live) AS n_live, count(*) FILTER (kind <> 'owned' AND owners = 1 AND NOT live) AS n_samples, max(repositories) AS most_repositories, count(*) FILTER (kind <> 'owned' AND owners >= {COPIED_OWNERS}) AS n_copied,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'owned') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM x GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_owned, 0) AS n_owned,
-  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(n_live, 0) AS n_live, coalesce(n_samples, 0) AS n_samples, coalesce(most_repositories, 0) AS most_repositories, coalesce(n_copied, 0) AS n_copied, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN z USING (r)
 """
 

@@ -147,6 +147,14 @@ def test_ownership_separates_copied_from_live(spark, nothing):
     assert secret_scan.scan(nothing).collect() == []
 
 
+def test_samples_of_one_owner_are_not_live(spark):
+    rows = [(k, "token=abcdefgh12345", "a") for k in range(secret_scan.LIVE_REPOSITORIES + 1)] + [(100, "token=zzzzzzzz99999", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.summary(secret_scan.scan(df)).collect()}
+    assert (got[0]["n_live"], got[0]["n_samples"], got[0]["most_repositories"]) == (0, 1, secret_scan.LIVE_REPOSITORIES + 1)
+    assert (got[100]["n_live"], got[100]["n_samples"], got[100]["most_repositories"]) == (1, 0, 1)
+
+
 # PII
 
 
