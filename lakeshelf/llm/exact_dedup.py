@@ -8,7 +8,7 @@ ordinary shuffle. Whether a digest is proposed changes the route of its rows onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeshelf.llm.common import keyed_text, stored
@@ -44,17 +44,16 @@ def heavy_candidates(rows: DataFrame, most: int = MOST_HEAVY, counters: int = CO
     return top.where(F.col("top.count") >= least).select(F.col("top.item").alias("digest_key"))
 
 
-def winners(rows: DataFrame, candidates: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """(digest, group_size, keep_id, keep_row) of candidates, with exact sizes; smaller groups are left out."""
+def winners(rows: DataFrame, candidates: DataFrame | None = None, least: int = LEAST_ROWS) -> DataFrame:
+    """(digest, group_size, keep_id, keep_row) of candidates, or of all digests, with exact sizes; smaller groups are left out.
+
+    Sizes and winners are combined in each task before they are shuffled, so a group of any size is a row for each task.
+    """
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("less_id"), (-F.col("row_no")).alias("less_row")))
-    found = (
-        rows.join(F.broadcast(candidates), F.xxhash64("digest") == F.col("digest_key"), "left_semi")
-        .groupBy("digest")
-        .agg(F.count("*").alias("group_size"), best.alias("best"))
-    )
-    return found.where(F.col("group_size") >= least).select(
-        "digest", "group_size", (-F.col("best.less_id")).alias("keep_id"), (-F.col("best.less_row")).alias("keep_row")
-    )
+    if candidates is not None:
+        rows = rows.join(F.broadcast(candidates), F.xxhash64("digest") == F.col("digest_key"), "left_semi")
+    found = rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best")).where(F.col("group_size") >= least)
+    return found.select("digest", "group_size", (-F.col("best.less_id")).alias("keep_id"), (-F.col("best.less_row")).alias("keep_row"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,25 +62,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are equal when their texts agree after all of [\\x20\\x09-\\x0D] is deleted; the one with the most code points,
     then the smallest doc_id stays. A null text counts as empty, so null, empty and blank texts form one group. A null
     doc_id loses against any other. Of rows that repeat in full, exactly one is kept. An empty table gives no rows.
-    Only the id and text columns are read, so others may have any names.
+    Only the id and text columns are read, so others may have any names. Of a very long text only its digest and length
+    go on.
     """
     rows = stored(digests(docs, id_col, text_col), "digests")
     heavy = stored(winners(rows, heavy_candidates(rows)), "heavy")  # at most MOST_HEAVY rows
-    by_map = rows.join(F.broadcast(heavy), "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "digest"
-    )
-    group = Window.partitionBy("digest")
-    ranked = group.orderBy(F.desc("n_chars"), F.asc_nulls_last("doc_id"), "row_no")
-    by_shuffle = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
-        "doc_id",
-        F.first("doc_id").over(ranked).alias("keep_id"),
-        F.count("*").over(group).alias("group_size"),
-        (F.row_number().over(ranked) == 1).alias("kept"),
-        "digest",
-    )
+    others = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+
+    def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found, "digest").select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "digest")
+
+    by_map, by_shuffle = judged(rows, F.broadcast(heavy)), judged(others, winners(others, least=1))
     return by_map.unionByName(by_shuffle).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that exact_dedup keeps: one of each group of equal texts.
+
+    Rows that repeat an id and an equal text are one row, and any of them may stand for it.
+    """
+
+    def key(id_column: Column, digest_column: Column) -> Column:
+        return F.concat(F.coalesce(id_column.cast("long").cast("string"), F.lit("-")).cast("binary"), digest_column)
+
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.unhex("text_sha256")).alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key(F.col(id_col), digest(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
   sha256(regexp_replace(coalesce(text, ''), '[ \\t-\\r]', '', 'g')) AS h FROM documents),

@@ -125,7 +125,7 @@ def brute_dedup(rows):
 @pytest.mark.parametrize("least", [1, 4, 64])
 def test_exact_dedup(spark, documents, awkward, least, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LEAST_ROWS", least)
-    monkeypatch.setattr(exact_dedup.winners, "__defaults__", (least,))
+    monkeypatch.setattr(exact_dedup.winners, "__defaults__", (None, least))
     monkeypatch.setattr(exact_dedup.heavy_candidates, "__defaults__", (3, 8, least))
     for df in (documents, awkward):
         rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
