@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting in a latent space.
 
-A text's features are counts of its words' shapes (letters, capitals, digits and signs, with runs shortened) and of
-shape pairs, hashed to buckets, and of bins of whole-text ratios such as the share of repeated words. Counts are
-damped, weighted by inverse document frequency and projected by a truncated singular value decomposition. The labelled
+A text's features are counts of its terms (lower-case words, hashed), of its words' shapes (letters, capitals, digits
+and signs, with runs shortened) and of shape pairs, hashed to buckets, and of bins of whole-text ratios such as the share
+of repeated words. Counts are damped, weighted by inverse document frequency and projected by a truncated singular value
+decomposition. The labelled
 vectors, at most MOST_LABELLED, are broadcast; every document's cosines with all of them are computed in blocks, and
 the NEIGHBOURS nearest vote by similarity.
 """
@@ -19,18 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import hash_share, held_out, keyed_text, ship_package
+from lakeshelf.llm.common import hash_share, held_out, keyed_text, prepare
 
 #: The bounds of what is learnt from and broadcast: labelled rows (expected) and latent dimensions.
 MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 4000, 48, 15
 BUCKETS, BINS, SHARPNESS, GOOD = 1024, 16, 4, 0.7
+#: Buckets of terms, and their weight beside that of shapes.
+TERMS, TERM_WEIGHT = 1024, 0.6
+#: Directions beyond the wanted ones, and rounds of the iteration that finds them.
+SPARE, ROUNDS = 16, 8
 
 _SHAPE = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1{2,}", re.S)
 
 
 def features(text: bytes) -> tuple[list[int], list[float]]:
-    """(feature ids, damped counts) of a UTF-8 text; ids below BUCKETS are hashed shapes, then come binned ratios."""
+    """(feature ids, damped counts) of a UTF-8 text; ids below BUCKETS are hashed shapes, then come binned ratios and hashed terms."""
     words = text.split()
     shapes = [_RUNS.sub(rb"\1\1", s) for s in text.translate(_SHAPE).split()] if words else []
     counts: Counter = Counter()
@@ -58,10 +63,15 @@ def features(text: bytes) -> tuple[list[int], list[float]]:
         low = int(place)
         ids += [BUCKETS + k * BINS + low, BUCKETS + k * BINS + min(low + 1, BINS - 1)]
         values += [2 * (1 - place + low), 2 * (place - low)]
+    terms: Counter = Counter()
+    for word, count in lowered.items():
+        terms[BUCKETS + 8 * BINS + zlib.crc32(word) % TERMS] += count
+    ids += list(terms)
+    values += [TERM_WEIGHT * float(1 + np.log(x)) for x in terms.values()]
     return ids, values
 
 
-SIZE = BUCKETS + 8 * BINS
+SIZE = BUCKETS + 8 * BINS + TERMS
 
 
 def dense(rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
@@ -75,27 +85,38 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def main_axes(rows: np.ndarray, k: int) -> np.ndarray:
+    """The first k right singular vectors as columns, by subspace iteration from a fixed start."""
+    basis = np.random.default_rng(5).standard_normal((rows.shape[1], min(k + SPARE, *rows.shape)))
+    for _ in range(ROUNDS):
+        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
+    _, _, turned = np.linalg.svd(rows @ basis, full_matrices=False)
+    return (basis @ turned.T)[:, :k]
+
+
 class Model:
     """Weights (idf), projection, and the labelled latent vectors with their labels."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS):
         self.weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
         weighted = unit(counts * self.weights)
-        _, _, axes = np.linalg.svd(weighted, full_matrices=False)
-        self.axes = axes[: min(dimensions, len(axes))].T.astype(np.float32)
+        self.axes = main_axes(weighted, min(dimensions, *weighted.shape)).astype(np.float32)
         self.vectors, self.labels = unit(weighted @ self.axes), labels.astype(np.float32)
 
     def scores(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         near = unit(unit(counts * self.weights) @ self.axes) @ self.vectors.T  # exact cosines with all labelled rows
         k = min(neighbours, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # of equally near rows the one with the smaller id, which comes first, is taken
+        edge = np.partition(near, -k, axis=1)[:, -k, None]
+        rank = np.where(near > edge, 2, np.where(near == edge, 1, 0)).astype(np.int8)
+        best = np.argsort(-rank, axis=1, kind="stable")[:, :k]
         weight = np.maximum(np.take_along_axis(near, best, 1), 1e-6) ** SHARPNESS
         return (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", most: int = MOST_LABELLED) -> Model | None:
     """A model of a hash sample of about `most` labelled rows at most that aren't held out; None if there are none."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.where(hash_share(F.col("id"), 23, most, known.count())).dropDuplicates(["id"])
     rows = keyed_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "label")
@@ -114,8 +135,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
     Learns from labels 0 and 1 of rows that aren't held out; a score sees the whole text only. Null texts count as
     empty, which are scored by their neighbours like any other; with nothing to learn from every score is 0.5. A null
-    doc_id isn't held out and has no label. Repeated rows each get their row, an empty table gives none, and only the
-    named columns are read.
+    doc_id isn't held out and has no label. Of equally near labelled rows those with the smaller ids vote. Repeated rows
+    each get their row, an empty table gives none, and only the named columns are read. Of a very long text only its
+    features are held, 512 texts at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, id_col, text_col, label_col))
 
@@ -128,6 +150,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
                 found = model.scores(counts) if model else np.full(len(counts), 0.5)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.clip(found, 0, 1).astype(np.float64))], ["doc_id", "score"])
 
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     out = keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))

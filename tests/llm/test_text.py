@@ -428,3 +428,17 @@ def test_quality_of_awkward_rows(spark, awkward, nothing, known):
     assert len(got) == awkward.count() and all(0 <= r["score"] <= 1 for r in got)
     assert known or {r["score"] for r in got} == {0.5}
     assert quality.score(nothing, labels).collect() == []
+
+
+def test_main_axes_equal_a_full_decomposition():
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((60, 40)) * (0.7 ** np.arange(40))
+    got, want = quality.main_axes(rows, 5), np.linalg.svd(rows, full_matrices=False)[2][:5].T
+    assert np.allclose(np.abs(got.T @ want), np.eye(5), atol=1e-6)
+    assert quality.main_axes(rows[:1], 1).shape == (40, 1)
+
+
+def test_ties_go_to_the_smaller_ids():
+    model = quality.Model(np.eye(4, quality.SIZE, dtype=np.float32), np.array([1, 0, 0, 0]), 4)
+    model.vectors = np.ones((4, model.vectors.shape[1]), np.float32)
+    assert model.scores(np.eye(1, quality.SIZE, dtype=np.float32), 1).tolist() == [1.0]
