@@ -86,19 +86,16 @@ def folder_stats(tracks: DataFrame) -> DataFrame:
 
 
 def coverage(tracks: DataFrame) -> DataFrame:
-    """Percentages of tracks with tempo, key, artist and title, and the score of the whole."""
-    rows = overview(tracks)
-    weak = tracks.agg(F.count_if(F.upper("parse_confidence").isin("MEDIUM", "LOW")).alias("weak"), F.count_if(text.is_unknown_artist(F.col("artist")) & ~scoring.blank(F.col("artist"))).alias("suspicious"))
-    total = F.col("total_tracks")
-    missing = (total - F.col("tracks_with_bpm")) + (total - F.col("tracks_with_camelot_key"))
+    """Percentages of tracks with tempo, key, artist and title, and the score of the whole, in one pass."""
+    counts = {
+        "total": F.count("*"), "bpm": F.count("bpm"), "key": F.count_if(~scoring.blank(F.col("key_camelot"))), "artist": F.count_if(~scoring.blank(F.col("artist"))), "title": F.count_if(~scoring.blank(F.col("title"))),
+        "weak": F.count_if(F.upper("parse_confidence").isin("MEDIUM", "LOW")), "suspicious": F.count_if(text.is_unknown_artist(F.col("artist")) & ~scoring.blank(F.col("artist"))),
+    }
+    rows, total = tracks.agg(*[c.alias(n) for n, c in counts.items()]), F.col("total")
+    missing = (total - F.col("bpm")) + (total - F.col("key"))
     lost = 8 * scoring.percent(missing, 2 * total) / 10 + 4 * scoring.percent(F.col("suspicious"), total) / 10 + 2 * scoring.percent(F.col("weak"), total) / 10
-    return rows.crossJoin(weak).select(  # two single rows
-        scoring.percent(F.col("tracks_with_bpm"), total).alias("bpm_pct"),
-        scoring.percent(F.col("tracks_with_camelot_key"), total).alias("key_pct"),
-        scoring.percent(total - F.col("tracks_missing_artist"), total).alias("artist_pct"),
-        scoring.percent(total - F.col("tracks_missing_title"), total).alias("title_pct"),
-        F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 - lost))).cast("int").alias("score"),
-    )
+    parts = [scoring.percent(F.col(c), total).alias(f"{c}_pct") for c in ("bpm", "key", "artist", "title")]
+    return rows.select(*parts, F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 - lost))).cast("int").alias("score"))
 
 
 def quality_gate(tracks: DataFrame, least_kbps: int = 128, least_sec: float = 30, most_sec: float = 7200) -> DataFrame:

@@ -35,7 +35,9 @@ def current_states(states: DataFrame) -> DataFrame:
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where("n > 1")
+    """(keys, id) of every row whose keys another row has too: the counts of repeated keys, joined back to their rows."""
+    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(several, list(keys)).select(*keys, "n", "id")
 
 
 def exact_groups(files: DataFrame) -> DataFrame:
@@ -92,9 +94,8 @@ def label_rollup(tracks: DataFrame) -> DataFrame:
 
 def numbered_targets(rows: DataFrame, folder: Column, name: Column) -> DataFrame:
     """rows with `target`: (n) is added to the second and later of equal names in a folder, by id."""
-    w = Window.partitionBy("__folder", "__name").orderBy("id")
-    rows = rows.withColumns({"__folder": folder, "__name": F.lower(name), "__k": F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy("id"))})
-    return rows.withColumn("target", F.concat(folder, F.lit("/"), name, F.when(F.col("__k") > 1, F.concat(F.lit(" ("), F.col("__k") - 1, F.lit(")"))).otherwise(""))).drop("__folder", "__name", "__k")
+    k = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy("id"))
+    return rows.withColumn("target", F.concat(folder, F.lit("/"), name, F.when(k > 1, F.concat(F.lit(" ("), k - 1, F.lit(")"))).otherwise("")))
 
 
 #: Rows of each side that one call compares; they bound its memory, not what is compared.

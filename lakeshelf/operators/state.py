@@ -74,9 +74,13 @@ def quiet_gaps(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
 
 
 def moving_average(rows: DataFrame, key: str, at: list[str], value: str, width: int) -> DataFrame:
-    """rows with `smooth`: the mean of the width values around each, fewer at the ends."""
-    w = Window.partitionBy(key).orderBy(*at).rowsBetween(-(width // 2), width // 2)
-    return rows.withColumn("smooth", F.avg(value).over(w))
+    """rows with `smooth`: the mean of the width values around each; beyond an end its last value goes on. width is odd."""
+    half, order = width // 2, Window.partitionBy(key).orderBy(*at)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.row_number().over(order)
+    before, after = F.greatest(F.lit(0), half + 1 - place), F.greatest(F.lit(0), place + half - F.count("*").over(whole))
+    total = F.sum(value).over(order.rowsBetween(-half, half)) + before * F.first(value).over(whole) + after * F.last(value).over(whole)
+    return rows.withColumn("smooth", total / width)
 
 
 def runs_above(rows: DataFrame, key: str, at: str, value: str, least: float, length: int = 2) -> DataFrame:

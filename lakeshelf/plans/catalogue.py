@@ -156,7 +156,7 @@ def coverage(spark, sf_dir):
     return cat.coverage(tracks(spark, sf_dir))
 
 
-@query(f"SELECT id, bpm, {REASON} AS reason, CASE {REASON} WHEN 'too_low_10x' THEN bpm*10 WHEN 'likely_halved' THEN bpm*2 WHEN 'likely_doubled' THEN bpm/2 WHEN 'too_high' THEN bpm/2 END AS suggested FROM v_tracks WHERE {REASON} IS NOT NULL", "tracks")
+@query(f"SELECT id, bpm, {REASON} AS reason, round(CASE {REASON} WHEN 'too_low_10x' THEN bpm*10 WHEN 'likely_halved' THEN bpm*2 WHEN 'likely_doubled' THEN bpm/2 WHEN 'too_high' THEN bpm/2 END, 1) AS suggested FROM v_tracks WHERE {REASON} IS NOT NULL", "tracks")
 def bpm_anomalies(spark, sf_dir):
     return cat.tempo_anomalies(tracks(spark, sf_dir))
 
@@ -304,9 +304,9 @@ def build_tracks(spark, sf_dir):
     return resolution.current_states(view(spark, sf_dir, "states")).select("id", "track_id", "stage", "status")
 
 
-@query("SELECT track_id, stage, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS ids FROM v_states GROUP BY 1,2 HAVING count(*)>1", "states")
+@query("SELECT track_id, stage, n, id FROM (SELECT *, count(*) OVER (PARTITION BY track_id, stage) AS n FROM v_states) WHERE n > 1", "states")
 def having_duplicates(spark, sf_dir):
-    return resolution.repeated(view(spark, sf_dir, "states"), "track_id", "stage").withColumn("ids", F.array_join("ids", ","))
+    return resolution.repeated(view(spark, sf_dir, "states"), "track_id", "stage")
 
 
 @query("SELECT (SELECT count(DISTINCT track_id) FROM v_states) AS states, (SELECT count(*) FROM v_tracks) AS tracks, (SELECT count(*) FROM (SELECT id FROM v_tracks INTERSECT SELECT track_id FROM v_states)) AS in_both", "states", "tracks")
@@ -429,7 +429,8 @@ def inbox_sessions(spark, sf_dir):
     return state.quiet_gaps(view(spark, sf_dir, "inbox"), "folder", "ts", 3600)
 
 
-@query("SELECT session_id, position, avg(n) OVER (PARTITION BY session_id ORDER BY position ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM v_played", "played")
+@query("""+ r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY position) AS k, count(*) OVER (PARTITION BY session_id) AS m FROM v_played), d AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d)
+  SELECT a.session_id, a.position, avg(b.n) AS smooth FROM r a, d, r b WHERE b.session_id = a.session_id AND b.k = greatest(1, least(a.m, a.k + d.d)) GROUP BY 1, 2""", "played")
 def moving_average(spark, sf_dir):
     return state.moving_average(view(spark, sf_dir, "played"), "session_id", ["position"], "n", 5).select("session_id", "position", "smooth")
 
