@@ -21,8 +21,10 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one, else an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where none is set, a session in one process gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="lakeshelf-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -30,15 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written once to the shared folder and read back: cuts lineage and survives lost executors. `remove_stored` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeshelf/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it on their path."""
+def remove_stored(spark: SparkSession) -> None:
+    """Delete all that `stored` has written in this session's shared folder; for when no DataFrame of it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lakeshelf")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of rows that go to a Python worker at once; it bounds what the JVM and the worker hold beside their own state.
+MOST_BATCH = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, and make this package importable in workers that don't have it on their path."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) == "67108864b":  # Spark's own value; any other was chosen
+        spark.conf.set(setting, str(MOST_BATCH))
     context = spark.sparkContext
     if getattr(context, "_lakeshelf_shipped", False):
         return

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import keyed_text, ship_package
+from lakeshelf.llm.common import keyed_text, prepare
 
 BLOCK, RATE, LEAST_BLOCK, PARTITION_ORDER = 2048, 8000, 16, 2
 PAD = 64
@@ -406,8 +406,9 @@ def batches_of(column: pa.Array, most: int = 2_000_000):
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, media (a FLAC file of the UTF-8 text padded to a positive multiple of 64).
 
-    Null texts count as empty (64 zero bytes). Equal texts give equal files. Repeated rows each get their row, an empty
-    table gives none, and only the id and text columns are read.
+    Null texts count as empty (64 zero bytes). Equal texts give equal files. Of predictors that take equally many bits
+    the first is taken. A very long text is one file of up to 932,067 blocks (1.9 GB), as many as a seek table lists.
+    Repeated rows each get their row, an empty table gives none, and only the id and text columns are read.
     """
 
     def encode(batches):
@@ -418,7 +419,7 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids = batch["doc_id"].slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return keyed_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
@@ -437,7 +438,7 @@ def decoded_media(media: DataFrame, media_col: str = "media") -> DataFrame:
                 columns = [*part.columns, pa.array(blocks, pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))), pa.array(traits, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "blocks", "feature"])
 
-    ship_package(media.sparkSession)
+    prepare(media.sparkSession)
     kinds = ", ".join(f"`{c}` {t}" for c, t in media.dtypes)
     return media.mapInArrow(run, f"{kinds}, blocks array<struct<sample_offset: bigint, pcm: binary>>, feature string")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import ship_package
+from lakeshelf.llm.common import prepare
 
 TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)")
 SPECIAL = re.compile("[\"'>]")
@@ -297,8 +297,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     The whole html is read; character references are decoded and white space inside a block becomes one space. Pages
     that are null, empty or without content give an empty text. Broken markup is read leniently: open elements end with
-    their parent, and a tag that never ends is text. Null ids and urls stay null, repeated rows each get their row, an
-    empty table gives none, and only the named columns are read.
+    their parent, and a tag that never ends is text. Paths of equal score fare alike. A very long page is scanned once, in
+    time and memory in proportion to it. Null ids and urls stay null, repeated rows each get their row, an empty table
+    gives none, and only the named columns are read.
     """
 
     def run(batches):
@@ -308,6 +309,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = [main_text(h) for h in part["html"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import hash_share, held_out, keyed_text, ship_package, stored
+from lakeshelf.llm.common import hash_share, held_out, keyed_text, prepare, stored
 
 #: Letters with their marks only: digits, signs and white space separate words.
 WORD, PLAIN_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), regex.compile("[a-z]+")
@@ -140,7 +140,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, vocabulary_path: str, id_col="doc_id", text_col="text", lang_col="lang", rounds: int = 2, most: int = TRAIN_DOCS):
     """(languages, probabilities of pieces x languages); there are at most as many languages as documents to learn from."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     words = stored(word_counts(training_rows(docs, id_col, text_col, lang_col, most)), "words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     pieces = vocabulary(vocabulary_path)
@@ -199,7 +199,7 @@ def with_language(rows: DataFrame, vocabulary_path: str, model) -> DataFrame:
                     best.append(float(1 / np.exp(total - total[k]).sum()))
                 yield pa.RecordBatch.from_arrays([part["row"], pa.array(names, pa.string()), pa.array(best, pa.float64())], ["row", "lang_pred", "score"])
 
-    ship_package(rows.sparkSession)
+    prepare(rows.sparkSession)
     return rows.mapInArrow(predict, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 

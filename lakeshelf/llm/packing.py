@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import keyed_text, ship_package, stored
+from lakeshelf.llm.common import keyed_text, prepare, stored
 
 LENGTH, END_ID = 2048, 1
 BUCKETS, DIMENSIONS, BITS, SEED = 256, 4, 12, 7
 #: The first character that isn't plain to WordTokenizer; new entries after which a worker's caches forget the oldest.
-PLAIN, MOST_CHUNKS, MOST_WORDS = 0x250, 50_000, 200_000
+PLAIN, MOST_CHUNKS, MOST_WORDS = 0x250, 20_000, 120_000
 
 
 class Recent(dict):
@@ -143,7 +143,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
                     ["doc_id", "curve_key", "n", "ids"],
                 )
 
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return keyed_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, curve_key long, n long, ids binary")
 
 
@@ -190,5 +190,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     out.append((doc_id, a, b - a, zlib.crc32(piece), n, (at + a) // length, (at + a) % length, piece))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
 
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import keyed_text, ship_package
+from lakeshelf.llm.common import keyed_text, prepare
 
 SPACE = "▁"
 MOST_CUTS = 100_000  # that a worker remembers
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     ["doc_id", "ids", "ends", "decoded"],
                 )
 
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, ends binary, decoded string")
 
 
