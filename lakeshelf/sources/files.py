@@ -72,12 +72,15 @@ def copies_from_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(originals, "prehash").where("path <> original").select("original", F.col("path").alias("duplicate"))
 
 
-def path_values(rows: DataFrame, json_col: str, keys: list[str], depth: int = 6) -> DataFrame:
-    """(field, value, location) of string values under given keys anywhere in a JSON column, down to `depth` levels."""
+def path_values(rows: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
+    """(field, value, location) of string values under given keys anywhere in a JSON column.
+
+    One pass for each level of nesting, as long as a level has values; the number of passes is the deepest nesting.
+    """
     spark = rows.sparkSession
     level, found = rows.select(F.expr(f"try_parse_json({json_col})").alias("v"), F.lit("$").alias("location")), []
-    for _ in range(depth):
-        place = "concat(location, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END)"
+    place = "concat(location, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END)"
+    while not found or not level.isEmpty():
         level = spark.sql(f"SELECT e.key, e.value AS v, {place} AS location FROM {{level}} AS l, LATERAL variant_explode(l.v) AS e", level=level)
         found.append(level.where(F.col("key").isin(keys)).select(F.col("key").alias("field"), F.expr("try_variant_get(v, '$', 'string')").alias("value"), "location"))
     return reduce(DataFrame.unionByName, found).where("value IS NOT NULL")

@@ -37,6 +37,14 @@ def test_path_values_at_any_depth(spark):
     assert got == {("x", "$.a[0].filepath"), ("y", "$.filepath")}
 
 
+def test_path_values_in_deep_nesting(spark):
+    deep = {"filepath": "z"}
+    for _ in range(12):
+        deep = {"a": [deep]}
+    rows = spark.createDataFrame([(json.dumps(deep),), ("no json",), (None,)], "j string")
+    assert [(r["value"], r["location"]) for r in files.path_values(rows, "j", ["filepath"]).collect()] == [("z", "$" + ".a[0]" * 12 + ".filepath")]
+
+
 def test_probe(spark):
     doc = json.dumps({"streams": [{"codec_type": "video"}, {"codec_type": "audio", "codec_name": "mp3", "bit_rate": "320000"}], "format": {"bit_rate": "1"}})
     assert tuple(spark.createDataFrame([(doc,)], "j string").select(files.probe(F.col("j")).alias("p")).first()["p"]) == ("mp3", 320)
