@@ -82,3 +82,19 @@ def least_hash(most: int, count: int) -> int:
 def hash_share(id_column: Column, salt: int, most: int, count: int) -> Column:
     """True for about `most` of `count` rows at most, by a hash of their id; a null id is hashed too."""
     return F.pmod(F.xxhash64(id_column, F.lit(salt)), F.lit(1 << 62)) < F.lit(least_hash(most, count))
+
+
+#: Keys whose facts are broadcast by `split_join`; no other key holds more than this share of the weight.
+MOST_HEAVY = 1000
+
+
+def split_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined to facts, which have one row a key: facts of the MOST_HEAVY keys of the largest weight are broadcast, the others meet by a shuffle.
+
+    Rows of a key that holds any share of the table stay where they lie; both inputs should be stored, as they are read
+    twice. `weight` is dropped. how is inner or left, and says what becomes of rows without a fact.
+    """
+    heavy = stored(facts.orderBy(F.desc(weight), key).limit(MOST_HEAVY), "heavy")
+    keys = F.broadcast(heavy.select(key))
+    light = facts.join(keys, key, "left_anti").drop(weight)
+    return rows.join(F.broadcast(heavy.drop(weight)), key).unionByName(rows.join(keys, key, "left_anti").join(light, key, how))
