@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lakeshelf.llm import exact_dedup, filter_audit, flac, html_extract, language_id, ngram_join, packing, pieces, pii, quality, secret_scan, simhash
+from lakeshelf.llm import alignment, exact_dedup, filter_audit, flac, html_extract, language_id, ngram_join, packing, pieces, pii, quality, secret_scan, simhash
 from lakeshelf.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 #: Of the registered query only; a real job passes its own secret.
@@ -64,5 +65,9 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op11_simhash": op11_simhash, "op13_filter_audit": op13_filter_audit, "op7_secrets": op7_secrets, "op10_quality": op10_quality, "op6_html_extract": op6_html_extract, "op3_media": op3_media, "op8_pieces": op8_pieces, "op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
+QUERIES = {"op12_alignment": op12_alignment, "op11_simhash": op11_simhash, "op13_filter_audit": op13_filter_audit, "op7_secrets": op7_secrets, "op10_quality": op10_quality, "op6_html_extract": op6_html_extract, "op3_media": op3_media, "op8_pieces": op8_pieces, "op1_ngram_join": op1_ngram_join, "op5_packing": op5_packing, "op9_pii": op9_pii, "op4_language_id": op4_language_id, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op13_filter_audit": filter_audit.ORACLE_SQL, "op7_secrets": secret_scan.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
