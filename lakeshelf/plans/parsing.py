@@ -62,7 +62,7 @@ VERSION = Template(f"coalesce(trim({BRACKET}[2:-2]), '')")
 VALID_TITLE = Template(r"coalesce(regexp_matches(§, '[^\s\-–—#_.]'), false)")
 VALID_ARTIST = Template(rf"""(length(trim(coalesce(§,''))) >= 2 AND regexp_matches(§, '\p{{L}}') AND NOT regexp_matches(trim(§), '(?i)^(?:1[0-2]|[1-9])[ab]$') AND NOT regexp_matches(trim(§), '^\[.*\]$|^\(.*\)$')
   AND NOT regexp_matches(trim(§), '^\d+(?:\.|\s*[-–—])\s') AND NOT regexp_matches(trim(§), '(?i)^(?:https?|www)|(?:https?|ftp)[:/\s_]|www\.') AND NOT regexp_matches(trim(§), '(?i)^[a-z0-9][a-z0-9-]*\.(?:{VALID_ENDS})\s*$'))""")
-COMPARED = Template("trim(" + replaced(replaced(replaced(replaced("lower(coalesce(§, ''))", r"['’`]s\b", "s"), r"[^\w\s]", " "), r"\b(?:the|a|an)\b\s*"), r"\s+", " ") + ")")
+COMPARED = Template(f"array_to_string(list_filter(string_split({replaced(replaced('lower(coalesce(§, chr(0)))', "['’`]s([^\\p{L}\\p{N}_]|$)", 's\\1'), '[^\\p{L}\\p{N}_]+', ' ')}, ' '), lambda w: w NOT IN ('', {each(parsing.ARTICLES)})), ' ')")
 
 
 def parsed_sql(source: str, column: str, name: str) -> str:
@@ -146,7 +146,7 @@ LETTERS, CAPITALS, ALBUM = ("length(regexp_replace(trim(album), '[^\\p{L}]', '',
 
 
 @query(f"""SELECT id, regexp_matches(coalesce(artist,''), '&[A-Z]{{2,}}[a-z]') OR len(regexp_extract_all(coalesce(artist,''), '[a-z][A-Z]')) >= 2 OR (contains(coalesce(artist,''), ' ') AND len(list_filter(string_split(artist, ' '), lambda w: regexp_matches(w, '^.{{2,}}[a-z][A-Z]'))) > 0) AS glued,
-  {ALBUM} <> '' AND (regexp_matches({ALBUM}, '(?i)https?:|www\\.|\\.(?:com|net|org)\\b|traxcrate|0day|zippy|download|blogspot|\\bmp3\\b') OR length(regexp_replace({ALBUM}, '[^.]', '', 'g')) > 2 OR regexp_matches({ALBUM}, '[/\\\\]')
+  {ALBUM} <> '' AND (regexp_matches({ALBUM}, '(?i)https?:|www\\.|\\.(?:com|net|org)\\b|traxcrate|0day|zippy|tukillas|maismusicapro|(?:^|[^\\p{{L}}\\p{{N}}_])download(?:$|[^\\p{{L}}\\p{{N}}_])|blogspot|soundcloud\\s*rip|\\bmp3\\b') OR length(regexp_replace({ALBUM}, '[^.]', '', 'g')) > 2 OR regexp_matches({ALBUM}, '[/\\\\]')
     OR ({CAPITALS} > {LETTERS} * 0.8 AND regexp_matches({ALBUM}, '[._-]') AND {LETTERS} > 0)) AS junk_album,
   id % 20 IN (0, 1, 2) AS placeholder FROM v_names""", "names")
 def odd_names(spark, sf_dir):
@@ -156,7 +156,9 @@ def odd_names(spark, sf_dir):
     )
 
 
-ARTISTS = f"list_transform(list_filter(string_split_regex(coalesce(artist,''), '(?i)\\s*(?:,|&|\\bfeat\\b\\.?|\\bft\\b\\.?|\\bvs\\b\\.?|\\bx\\b)\\s*'), lambda w: trim(w) <> ''), lambda w: {COMPARED.of('w')})"
+EDGE = r"(^|[^\p{L}\p{N}_])"  # RE2's word boundary knows ASCII only, so separators that are words become commas where nothing joins them
+COMMAS = replaced(replaced("coalesce(artist, '')", rf"(?i){EDGE}(?:feat|ft|vs|x)([^\p{{L}}\p{{N}}_]|$)", r"\1,\2"), "&", ",")
+ARTISTS = f"list_transform(list_filter(string_split({COMMAS}, ','), lambda w: trim(w, ' .') <> ''), lambda w: {COMPARED.of('w')})"
 MATCHED = replaced(replaced(replaced("trim(stem)", r"(?i)\s*[(\[][^)\]]*\b(?:records?|music(?:al)?|entertainment|digital|audio|label)\b[^)\]]*[)\]]"), r"(?i)\s*\b\d{2,3}\s*bpm\b\s*$"), r"\s+(?:[6-9]\d|1\d{2}|200)\s*$")
 
 

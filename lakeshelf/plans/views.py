@@ -47,8 +47,8 @@ NAMES = """SELECT p_partkey AS id, concat(
   p_name,
   CASE p_partkey % 17 WHEN 0 THEN ' (Original Mix)' WHEN 1 THEN ' [Extended Mix]' WHEN 2 THEN ' (fordjonly.com)' WHEN 3 THEN ' (djcity Remix)' WHEN 4 THEN ' [ www.x.org ]' WHEN 5 THEN ' - gold' WHEN 6 THEN ' Free Download'
     WHEN 7 THEN ' https___pool.net' WHEN 8 THEN ' ™ Exclusive' WHEN 9 THEN ' Exclusive Mix' WHEN 10 THEN ' (Live) (Club Edit) 2' WHEN 11 THEN ' pool.net/x, For DJs Only' WHEN 12 THEN ' httpspool.pro#' WHEN 13 THEN ' (Toolroom Records) 128bpm' ELSE '' END) AS stem,
-  CASE p_partkey % 11 WHEN 0 THEN 'KaybeeShimzaBlack' WHEN 1 THEN 'AdilDJ feat. Sue' WHEN 2 THEN '&MERampa' WHEN 3 THEN '8B' WHEN 4 THEN 'N/A' WHEN 5 THEN 'DJCity' WHEN 6 THEN 'The Ray''s x Ben vs. Cy' WHEN 7 THEN '55. Bo' WHEN 8 THEN 'x.com' WHEN 9 THEN NULL ELSE p_brand END AS artist,
-  CASE p_partkey % 6 WHEN 0 THEN 'DJ.POOL.UP' WHEN 1 THEN 'a/b' WHEN 2 THEN 'www.site.com' WHEN 3 THEN '' WHEN 4 THEN 'Deep House' ELSE p_name END AS album,
+  CASE p_partkey % 13 WHEN 0 THEN 'KaybeeShimzaBlack' WHEN 1 THEN 'AdilDJ feat. Sue' WHEN 2 THEN '&MERampa' WHEN 3 THEN '8B' WHEN 4 THEN 'N/A' WHEN 5 THEN 'DJCity' WHEN 6 THEN 'The Ray''s x Ben vs. Cy' WHEN 7 THEN '55. Bo' WHEN 8 THEN 'x.com' WHEN 9 THEN NULL WHEN 10 THEN 'Beyoncé, Ané & Éxå' WHEN 11 THEN 'Sigur Rós ft. Müller x Möller' ELSE p_brand END AS artist,
+  CASE p_partkey % 8 WHEN 0 THEN 'DJ.POOL.UP' WHEN 6 THEN 'Downloaded Memories' WHEN 7 THEN 'Night (download)' WHEN 1 THEN 'a/b' WHEN 2 THEN 'www.site.com' WHEN 3 THEN '' WHEN 4 THEN 'Deep House' ELSE p_name END AS album,
   CASE p_partkey % 5 WHEN 0 THEN '2024-04-15' WHEN 1 THEN '5 Apr 2024' WHEN 2 THEN 'December 2023' WHEN 3 THEN ' 2020 ' ELSE 'soon' END AS released
 FROM part"""
 
