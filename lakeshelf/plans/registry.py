@@ -1,6 +1,6 @@
 """All queries of the catalogue with their SQL."""
 
-from lakeshelf.plans import auditing, parsing, reviewing, series
+from lakeshelf.plans import artists, auditing, parsing, reviewing, series
 from lakeshelf.plans.catalogue import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "auditing", "parsing", "reviewing", "series"]
+__all__ = ["ORACLE_SQL", "QUERIES", "artists", "auditing", "parsing", "reviewing", "series"]

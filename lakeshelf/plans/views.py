@@ -52,6 +52,13 @@ NAMES = """SELECT p_partkey AS id, concat(
   CASE p_partkey % 5 WHEN 0 THEN '2024-04-15' WHEN 1 THEN '5 Apr 2024' WHEN 2 THEN 'December 2023' WHEN 3 THEN ' 2020 ' ELSE 'soon' END AS released
 FROM part"""
 
+#: Credits of one to four artists in many spellings, with titles that may name a guest.
+CREDITS = """SELECT p_partkey AS id, CASE p_partkey % 24 WHEN 0 THEN concat(p_brand, ', Ann Lee & Bob Fly') WHEN 1 THEN concat(p_brand, ' & Ann') WHEN 2 THEN concat(p_brand, ' x Bob') WHEN 3 THEN concat(p_brand, ' vs. Cy')
+    WHEN 4 THEN concat(p_brand, ' and Dee') WHEN 5 THEN concat(p_brand, ' and 8A') WHEN 6 THEN concat(p_brand, ' ft. Eve') WHEN 7 THEN concat(p_brand, ' featuring feat. Fay & Gus') WHEN 8 THEN 'MAPHORISA' WHEN 9 THEN 'DJ LAG M.E. (SA)'
+    WHEN 10 THEN 'ACRAZE' WHEN 11 THEN concat(p_brand, ' – ‘Hal’ 128 BPM') WHEN 12 THEN concat(p_brand, ' (Original Mix)') WHEN 13 THEN 'Mark Francis Aaron K Gray' WHEN 14 THEN 'Adri Block Hosh SBCR' WHEN 15 THEN 'Ivy Jones The Band'
+    WHEN 16 THEN concat('African Roots', p_brand, ' Lee') WHEN 17 THEN 'Deep RootsLebo Koki (IT)' WHEN 18 THEN 'Ann Lee/Bob Fly | Koki Mo' WHEN 19 THEN 'AC/DC' WHEN 20 THEN 'Ann McBee, Some MusiQ' WHEN 21 THEN '  ' WHEN 22 THEN NULL ELSE 'Beyoncé, , Sigur Rós' END AS artist,
+  CASE p_partkey % 5 WHEN 0 THEN concat(p_name, ' (feat. Zoe)') WHEN 1 THEN NULL ELSE p_name END AS title FROM part"""
+
 #: Answers with one JSON object somewhere in their text.
 NOISE = """SELECT p_partkey AS id, p_size, p_name, concat(CASE p_partkey % 3 WHEN 0 THEN 'Here: ```json ' WHEN 1 THEN 'I think ' ELSE '' END, chr(123), '"size": ', CAST(p_size AS VARCHAR(9)), ', "name": "', p_name, '"', chr(125),
   CASE p_partkey % 3 WHEN 0 THEN concat(' ``` ', chr(123)) WHEN 1 THEN ' fits.' ELSE '' END) AS answer FROM part"""
@@ -79,7 +86,7 @@ CANDIDATES = """SELECT l_orderkey AS track_id, row_number() OVER (PARTITION BY l
 JOBS = """SELECT event_id AS id, user_id AS job, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'succeeded' WHEN 'purchase' THEN 'failed' ELSE 'other' END AS state, ts AS since FROM events"""
 
 VIEWS = {
-    "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
+    "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
     "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
