@@ -30,7 +30,7 @@ from lakeshelf.llm.common import keyed_text, prepare, stored
 
 SPACE, ASCII_SPACE = "▁", " \t\n\x0b\x0c\r"
 #: Bytes of text of a chunk, beside its last document; ranges of the hash, as bits; bits of the hash; chunks that share a range.
-CHUNK, RANGE_BITS, HASH_BITS, MOST_SHARING = 16 << 20, 8, 24, 256
+CHUNK, RANGE_BITS, HASH_BITS, MOST_SHARING = 8 << 20, 8, 24, 256
 #: Characters tokenised at once, and words of documents whose pairs are made distinct at once.
 BLOB, WORDS = 1 << 16, 1 << 19
 #: A group of more links than this is counted by its distinct ids.
