@@ -59,6 +59,16 @@ CREDITS = """SELECT p_partkey AS id, CASE p_partkey % 24 WHEN 0 THEN concat(p_br
     WHEN 16 THEN concat('African Roots', p_brand, ' Lee') WHEN 17 THEN 'Deep RootsLebo Koki (IT)' WHEN 18 THEN 'Ann Lee/Bob Fly | Koki Mo' WHEN 19 THEN 'AC/DC' WHEN 20 THEN 'Ann McBee, Some MusiQ' WHEN 21 THEN '  ' WHEN 22 THEN NULL ELSE 'Beyoncé, , Sigur Rós' END AS artist,
   CASE p_partkey % 5 WHEN 0 THEN concat(p_name, ' (feat. Zoe)') WHEN 1 THEN NULL ELSE p_name END AS title FROM part"""
 
+#: Tags of files with all faults that cleaning knows; every 17th has several artists.
+TAGS = """SELECT p_partkey AS id, p_partkey % 17 = 0 AS several, CASE p_partkey % 26 WHEN 0 THEN concat('02 | ', p_name) WHEN 1 THEN concat('3 ', p_name) WHEN 2 THEN concat('4 You ', p_name) WHEN 3 THEN concat('15 ', p_name) WHEN 4 THEN concat(p_name, ' (fordjonly.com) x')
+    WHEN 5 THEN concat(p_name, ' 128') WHEN 6 THEN concat(p_name, ' 200') WHEN 7 THEN concat(p_name, ' (Xumba Recordings)122') WHEN 8 THEN concat(p_name, ' (Music Club Mix)') WHEN 9 THEN concat(p_name, ' (Feat. Ann)') WHEN 10 THEN concat(p_name, ' -  - x')
+    WHEN 11 THEN concat(p_name, ' [] y') WHEN 12 THEN concat(p_name, ' (Dub') WHEN 13 THEN concat(p_name, '(Dub)') WHEN 14 THEN concat('  ', p_name, '   z ') WHEN 15 THEN concat(p_name, ' (Techno and Chill)') WHEN 16 THEN '99' WHEN 17 THEN concat('***2 – ', p_name) WHEN 18 THEN NULL
+    WHEN 19 THEN concat(p_name, ' big BIG big') WHEN 20 THEN concat(p_name, ' AlbumVersion') WHEN 21 THEN concat(p_name, ' MaciaDownloads') WHEN 22 THEN concat(p_name, ' | ', p_name) WHEN 23 THEN concat(p_name, ' djcity.com') ELSE p_name END AS title,
+  CASE p_partkey % 11 WHEN 0 THEN concat(p_brand, ' www.x.org') WHEN 1 THEN concat(p_brand, ' ft. Bo') WHEN 2 THEN concat(p_brand, ' featuring Bo ft.') WHEN 3 THEN concat(p_brand, ', , Cy') WHEN 4 THEN concat(p_brand, '  Dee ') WHEN 5 THEN 'pool.com' WHEN 6 THEN NULL WHEN 7 THEN concat(p_brand, ' [zippy]') ELSE p_brand END AS artist,
+  CASE p_partkey % 12 WHEN 0 THEN 'mail ann@pool.com' WHEN 1 THEN 'www.pool.com' WHEN 2 THEN 'Night http://x.y/z' WHEN 3 THEN '/home/x' WHEN 4 THEN 'C:/music' WHEN 5 THEN 'Wait.....what' WHEN 6 THEN 'pool.net' WHEN 7 THEN 'Promo Only' WHEN 8 THEN 'Night [djcity]' WHEN 9 THEN '' WHEN 10 THEN NULL ELSE p_name END AS album,
+  CASE p_partkey % 6 WHEN 0 THEN 'USRC17607839' WHEN 1 THEN 'us-rc1-76-07839' WHEN 2 THEN 'USRC1760783' WHEN 3 THEN ' GBAYE 0601498 ' WHEN 4 THEN NULL ELSE 'none' END AS isrc,
+  CASE p_partkey % 7 WHEN 0 THEN 'me@x.org' WHEN 1 THEN ' White Label ' WHEN 2 THEN '??' WHEN 3 THEN 'Some  Records' WHEN 4 THEN NULL WHEN 5 THEN 'Promo Records' ELSE p_brand END AS organization FROM part"""
+
 #: Answers with one JSON object somewhere in their text.
 NOISE = """SELECT p_partkey AS id, p_size, p_name, concat(CASE p_partkey % 3 WHEN 0 THEN 'Here: ```json ' WHEN 1 THEN 'I think ' ELSE '' END, chr(123), '"size": ', CAST(p_size AS VARCHAR(9)), ', "name": "', p_name, '"', chr(125),
   CASE p_partkey % 3 WHEN 0 THEN concat(' ``` ', chr(123)) WHEN 1 THEN ' fits.' ELSE '' END) AS answer FROM part"""
@@ -86,7 +96,7 @@ CANDIDATES = """SELECT l_orderkey AS track_id, row_number() OVER (PARTITION BY l
 JOBS = """SELECT event_id AS id, user_id AS job, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'succeeded' WHEN 'purchase' THEN 'failed' ELSE 'other' END AS state, ts AS since FROM events"""
 
 VIEWS = {
-    "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
+    "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
     "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
