@@ -72,6 +72,14 @@ def test_join_of_documents(documents):
     assert joined(documents) == brute_components(rows)
 
 
+def test_join_of_ids_with_several_texts(spark):
+    """An id joins what its texts join, also where a group of copies is signed by another row."""
+    a, b, c = ("the same words in every one of these copies", "other words that stand in only two of all rows", "a third text of words that no other row has")
+    rows = [(k, a) for k in range(1, 70)] + [(500, a), (500, b), (600, b), (700, c), (700, b), (800, c), (900, "alone with these few words of its own")]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+    assert {x for i, _, x in brute_components(rows) if i in ("500", "600", "700", "800")} == {"1"}
+
+
 def test_join_of_awkward_rows(awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.select("doc_id", "text").collect()]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(awkward).collect()]
