@@ -196,3 +196,9 @@ def test_fuzzy_renames_equal_brute_force(spark):
             if same and ratio > 0.85:
                 want[a[0], b[0]] = ratio
     assert got == pytest.approx(want) and len(want) > 20
+
+
+@pytest.mark.parametrize("name", ["scored_parses", "parsed_stems"])
+def test_parsers_bind_each_step_once(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 60
