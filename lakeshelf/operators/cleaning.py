@@ -186,10 +186,11 @@ def tag_changes(tags: DataFrame, key: str) -> DataFrame:
     several = {f: F.coalesce(F.size(f) > 1, F.lit(False)) for f in FIELDS}
     rows = tags.select(key, *[F.when(~several[f], F.coalesce(F.get(f, F.lit(0)), F.lit(""))).otherwise("").alias(f) for f in FIELDS], *[several[f].alias(f"__{f}_many") for f in FIELDS])
     rows = with_clean_fields(rows)
-    changes = [
-        F.when(F.col(f"clean_{f}.value") != F.col(f), F.struct(F.lit(f).alias("field"), F.col(f).alias("old"), F.col(f"clean_{f}.value").alias("new"), F.get(f"clean_{f}.reasons", F.lit(0)).alias("reason"), F.col(f"clean_{f}.reasons").alias("reasons")))
-        for f in FIELDS
-    ]
+    def change(field: str) -> Column:
+        told = lambda c: F.struct(F.lit(field).alias("field"), F.col(field).alias("old"), c["value"].alias("new"), F.get(c["reasons"], F.lit(0)).alias("reason"), c["reasons"].alias("reasons"))
+        return parsing.bound(F.col(f"clean_{field}"), lambda c: F.when(c["value"] != F.col(field), told(c)))
+
+    changes = [change(f) for f in FIELDS]
     skipped = [F.when(F.col(f"__{f}_many"), F.lit(f"{f}: skipped_multi_value{'_artist' if f == 'artist' else ''}")) for f in FIELDS]
     out = rows.select(key, F.array_compact(F.array(*changes)).alias("changes"), F.array_compact(F.array(*skipped)).alias("skipped"))
     return out.where((F.size("changes") > 0) | (F.size("skipped") > 0))
@@ -214,17 +215,31 @@ def sanitation_proposals(tracks: DataFrame, key: str = "id") -> DataFrame:
     artist and title are field states; the confidence is the least of both fields' rules, flags and reasons those of both
     in order. Null and blank values are left alone; a value that would become empty is not changed.
     """
-    rows = tracks.select(key, "artist", "title", *[stripped(F.coalesce(F.col(c), F.lit(""))).alias(f"__{c}") for c in ("artist", "title")])
-    for c in ("artist", "title"):
-        rows = rows.withColumn(f"clean_{c}", chained(F.col(f"__{c}"), SANITATION))
-        edges = r"(?U)^[\s\-_/|.,]+|[\s\-_/|.,]+$"
-        rows = rows.withColumn(f"new_{c}", F.regexp_replace(F.regexp_replace(f"clean_{c}.value", r"(?U)\s+", " "), edges, ""))
-        rows = rows.withColumn(f"changed_{c}", (F.col(f"new_{c}") != "") & (F.col(f"new_{c}") != F.col(f"__{c}")))
-        rows = rows.withColumn(f"new_{c}", F.when(F.col(f"changed_{c}"), F.col(f"new_{c}")).otherwise(F.col(f"__{c}")))
-    none = F.array().cast("array<string>")
-    both = {k: F.array_distinct(F.concat(*[F.when(F.col(f"changed_{c}"), F.col(f"clean_{c}.{k}")).otherwise(none) for c in ("artist", "title")])) for k in ("flags", "reasons")}
-    rows = rows.where("changed_artist OR changed_title").withColumns(both).where((F.size("flags") > 0) | (F.size("reasons") > 0))
-    least = level(F.least(*[F.array_position(F.array(*map(F.lit, LEVELS)), F.col(f"clean_{c}.confidence")) - 1 for c in ("artist", "title")]).cast("int"))
-    reason = F.coalesce(*[F.when(F.array_contains("flags", flag), F.lit(why)) for flag, why in WHY], F.array_join("reasons", "; "))
-    states = [field_state(F.col(c), F.col(f"new_{c}")).alias(c) for c in ("artist", "title")]
-    return rows.select(key, *states, least.alias("confidence"), reason.alias("reason"), "flags", "reasons")
+    none, edges = F.array().cast("array<string>"), r"(?U)^[\s\-_/|.,]+|[\s\-_/|.,]+$"
+
+    def judged(column: str) -> Column:
+        """struct<new, changed, flags, reasons, rank> of a column."""
+
+        def ended(old: Column, c: Column) -> Column:
+            new = F.regexp_replace(F.regexp_replace(c["value"], r"(?U)\s+", " "), edges, "")
+            return parsing.bound(new, lambda n: told(old, c, n, (n != "") & (n != old)))
+
+        def told(old: Column, c: Column, new: Column, changed: Column) -> Column:
+            rank = F.array_position(F.array(*map(F.lit, LEVELS)), c["confidence"])
+            return F.struct(F.when(changed, new).otherwise(old).alias("new"), changed.alias("changed"), *[F.when(changed, c[k]).otherwise(none).alias(k) for k in ("flags", "reasons")], rank.alias("rank"))
+
+        return parsing.bound(stripped(F.coalesce(F.col(column), F.lit(""))), lambda old: parsing.bound(chained(old, SANITATION), lambda c: ended(old, c)))
+
+    def proposal(row: Column) -> Column:
+        artist, title = row["artist"], row["title"]
+        both = [F.array_distinct(F.concat(artist[k], title[k])).alias(k) for k in ("flags", "reasons")]
+        said = F.struct(*both, level(F.least(artist["rank"], title["rank"]).cast("int") - 1).alias("confidence"))
+        return parsing.bound(said, lambda x: F.when((artist["changed"] | title["changed"]) & (F.size(x["reasons"]) > 0), answer(x, artist["new"], title["new"])))
+
+    def answer(x: Column, artist: Column, title: Column) -> Column:
+        reason = F.coalesce(*[F.when(F.array_contains(x["flags"], flag), F.lit(why)) for flag, why in WHY], F.array_join(x["reasons"], "; "))
+        states = [field_state(F.col(c), new).alias(c) for c, new in (("artist", artist), ("title", title))]
+        return F.struct(*states, x["confidence"].alias("confidence"), reason.alias("reason"), x["flags"].alias("flags"), x["reasons"].alias("reasons"))
+
+    fields = F.struct(judged("artist").alias("artist"), judged("title").alias("title"))
+    return tracks.select(key, parsing.bound(fields, proposal).alias("__proposal")).where("__proposal IS NOT NULL").select(key, "__proposal.*")
