@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeshelf.functions import audit, scoring, text
@@ -70,13 +70,22 @@ def superseded(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def tiered(candidates: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """Candidates (old_id, new_id, overlap, score, ...) with review_tier."""
+    """Candidates (old_id, new_id, overlap, score, ...) with review_tier; several that would be safe for one file are for review."""
     o = old.select(F.col("id").alias("old_id"), F.col("filepath").alias("__old"), F.col("filesize_bytes").alias("__old_size"))
     n = new.select(F.col("id").alias("new_id"), F.col("filepath").alias("__new"), F.col("filesize_bytes").alias("__new_size"))
     rows = candidates.join(o, "old_id").join(n, "new_id")
     same = text.extension(F.col("__old")) == text.extension(F.col("__new"))
     off = scoring.size_difference(F.col("__old_size"), F.col("__new_size"))
-    return rows.withColumn("review_tier", audit.tier(F.col("score"), F.col("overlap"), off, same, F.col("__old"), F.col("__new"))).drop("__old", "__new", "__old_size", "__new_size")
+    rows = rows.withColumn("review_tier", audit.tier(F.col("score"), F.col("overlap"), off, same, F.col("__old"), F.col("__new")))
+    safe = F.count_if(F.col("review_tier") == audit.TIERS[0]).over(Window.partitionBy("old_id"))  # of a few candidates each
+    rows = rows.withColumn("__safe", safe).withColumn("review_tier", F.when((F.col("review_tier") == audit.TIERS[0]) & (F.col("__safe") > 1), audit.TIERS[1]).otherwise(F.col("review_tier")))
+    return rows.drop("__old", "__new", "__old_size", "__new_size", "__safe")
+
+
+def overlap_counts(overlaps: DataFrame, least: tuple[float, ...] = (0.5, 0.6, 0.7)) -> DataFrame:
+    """(least, n): how many files have a best overlap (old_id, overlap) of at least each bound."""
+    counts = overlaps.agg(*[F.count_if(F.col("overlap") >= x).alias(str(x)) for x in least])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("least"), F.col(f"`{x}`").alias("n")) for x in least])).alias("x")).select("x.*")
 
 
 def counts_of(rows: DataFrame, column: str, values: list[str]) -> DataFrame:

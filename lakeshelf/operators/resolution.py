@@ -103,10 +103,11 @@ OLD_BLOCK, NEW_BLOCK = 1000, 10_000
 
 
 def block_matches(old: DataFrame, new: DataFrame, choose) -> DataFrame:
-    """(old_id, new_id, new_path, overlap, off, score) of the pairs with a token in common that choose keeps of each old row and block.
+    """(old_id, new_id, new_path, overlap, off, score) of the pairs that choose keeps of each old row and block.
 
-    Every old row meets every new row: both sides are dealt by hash into blocks, each pair of blocks is one call, and in
-    it an inverted index counts the shared tokens, so that pairs never become rows and no token is too frequent.
+    Every old row meets every new row, with or without tokens in common: both sides are dealt by hash into blocks, each
+    pair of blocks is one call, and in it an inverted index counts the shared tokens, so that pairs never become rows
+    and no token is too frequent. A name without tokens overlaps with nothing; a pair of equal paths is left out.
     """
 
     def side(rows: DataFrame, name: str, size: int, other: DataFrame, other_size: int) -> DataFrame:
@@ -115,7 +116,7 @@ def block_matches(old: DataFrame, new: DataFrame, choose) -> DataFrame:
         own = F.pmod(F.xxhash64("id", "path"), F.lit(mine)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(theirs - 1)))
         o, n = (own, every) if name == "old" else (every, own)
-        return rows.select("*", o.alias("o")).select("*", n.alias("n")).where(F.size("tokens") > 0)
+        return rows.select("*", o.alias("o")).select("*", n.alias("n"))
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
         o, n = both[both["old"]], both[~both["old"]]
@@ -133,9 +134,8 @@ def block_matches(old: DataFrame, new: DataFrame, choose) -> DataFrame:
             for t in tokens:
                 if t in index:
                     shared[index[t]] += 1
-            some = np.flatnonzero(shared)
-            some = some[paths[some] != path]
-            overlap, same = shared[some] / len(tokens), same_kind.get(kind, none)[some]
+            some = np.flatnonzero(paths != path)
+            overlap, same = shared[some] / max(1, len(tokens)), same_kind.get(kind, none)[some]
             off = np.abs(size - sizes[some]) / size if size > 0 else np.full(len(some), np.nan)
             score = 0.6 * overlap + 0.3 * np.maximum(0.0, 1 - np.where(np.isnan(off), 1.0, off)) + np.where(same, 0.1, 0.0)
             kept = choose(ids[some], overlap, off, same, score)
@@ -149,16 +149,29 @@ def block_matches(old: DataFrame, new: DataFrame, choose) -> DataFrame:
 
 
 def moved_candidates(old: DataFrame, new: DataFrame, k: int = 5) -> DataFrame:
-    """The k best new places of each old file that share a token: 0.6 overlap + 0.3 size + 0.1 format; ties by path."""
+    """The k best new places of each old file that score above 0: 0.6 overlap + 0.3 size + 0.1 format, to six digits; ties by path."""
 
     def best(ids, overlap, off, same, score):
-        return np.argsort(-score, kind="stable")[:k]
+        score = np.round(score, 6)
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        some = np.flatnonzero((score >= least) & (score > 0))
+        return some[np.argsort(-score[some], kind="stable")[:k]]
 
     w = Window.partitionBy("old_id").orderBy(F.desc("score"), "new_path", "new_id")
-    rows = block_matches(old, new, best).withColumn("place", F.row_number().over(w))
+    rows = block_matches(old, new, best).withColumn("score", F.round("score", 6)).withColumn("place", F.row_number().over(w))
     return rows.where(F.col("place") <= k).select("old_id", "new_id", "overlap", "score", "place")
 
 
+def best_overlaps(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old_id, overlap): the largest share of each old name's tokens that a new name of the same format has; rows without any are left out."""
+
+    def best(ids, overlap, off, same, score):
+        fits = np.flatnonzero(same & (overlap > 0))
+        return fits[np.argmax(overlap[fits])][None] if len(fits) else fits
+
+    return block_matches(old, new, best).groupBy("old_id").agg(F.max("overlap").alias("overlap"))
+
+
 def relocations(old: DataFrame, new: DataFrame, least: float = 0.7, most_off: float = 0.1) -> DataFrame:
     """The best new place of each old file: same format, nearly the same size, enough tokens in common."""
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lakeshelf.functions import audit as rules
 from lakeshelf.functions import text
-from lakeshelf.operators import audit
-from lakeshelf.plans.catalogue import AUDIT, TOKENS, query, tracks
+from lakeshelf.operators import audit, resolution
+from lakeshelf.plans.catalogue import AUDIT, PAIRED, SCORE, TOKENS, query, tracks
 from lakeshelf.plans.parsing import Template, each
 from lakeshelf.plans.views import view
 
@@ -124,3 +124,30 @@ def reference_renames(spark, sf_dir):
 def canonical_paths(spark, sf_dir):
     p = F.when(F.col("id") % 2 == 0, F.col("old_path").substr(2, 1000)).otherwise(F.replace("old_path", F.lit("/lib/"), F.lit("/lib/./")))
     return audit.canonical_paths(tracks(spark, sf_dir), view(spark, sf_dir, "pairs").select(p.alias("filepath")), root="/top")
+
+
+#: Files that were moved as they are, every second of them to two places, and files without a token or of another size.
+PLACED = f"""+ f AS (SELECT id, filepath, filesize_bytes AS size FROM v_tracks UNION ALL SELECT id + 100000000, '/bak' || filepath, filesize_bytes FROM v_tracks WHERE id % 40 = 0),
+  old AS (SELECT id, CASE WHEN id % 60 = 0 THEN '/old/x.mp3' ELSE '/old' || filepath END AS filepath, CASE id % 100 WHEN 0 THEN NULL WHEN 20 THEN filesize_bytes * 2 ELSE filesize_bytes END AS size FROM v_tracks WHERE id % 20 = 0),
+  o AS (SELECT *, regexp_extract(filepath,'\\.([a-z0-9]+)$',1) AS ext, {TOKENS} AS tok FROM old), n AS (SELECT *, regexp_extract(filepath,'\\.([a-z0-9]+)$',1) AS ext, {TOKENS} AS tok FROM f),
+  p AS (SELECT o.id AS old_id, n.id AS new_id, o.filepath AS old_path, n.filepath AS new_path, o.ext = n.ext AS same, {PAIRED} FROM o JOIN n ON o.filepath <> n.filepath)"""
+
+
+def placed(spark, sf_dir):
+    rows = tracks(spark, sf_dir).select("id", "filepath", "filesize_bytes")
+    new = rows.unionByName(rows.where("id % 40 = 0").select((F.col("id") + 100000000).alias("id"), F.concat(F.lit("/bak"), "filepath").alias("filepath"), "filesize_bytes"))
+    size = F.when(F.col("id") % 100 == 0, None).when(F.col("id") % 100 == 20, F.col("filesize_bytes") * 2).otherwise(F.col("filesize_bytes"))
+    path = F.when(F.col("id") % 60 == 0, "/old/x.mp3").otherwise(F.concat(F.lit("/old"), "filepath"))
+    return rows.where("id % 20 = 0").withColumns({"filepath": path, "filesize_bytes": size}), new
+
+
+@query(f"""{PLACED}, v_pairs AS (SELECT old_id, new_id, old_path, new_path, overlap, off, {SCORE} AS score FROM p WHERE {SCORE} > 0 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY {SCORE} DESC, new_path, new_id) <= 5), {TIERED}
+  SELECT old_id, new_id, score, CASE WHEN tier = 'AUTO_SAFE_CANDIDATE' AND count(*) FILTER (tier = 'AUTO_SAFE_CANDIDATE') OVER (PARTITION BY old_id) > 1 THEN 'REVIEW_CAREFULLY' ELSE tier END AS review_tier FROM t""", "tracks")
+def orphan_tiers(spark, sf_dir):
+    old, new = placed(spark, sf_dir)
+    return audit.tiered(resolution.moved_candidates(old, new), old, new).select("old_id", "new_id", "score", "review_tier")
+
+
+@query(f"{PLACED}, b AS (SELECT old_id, max(overlap) AS overlap FROM p WHERE same GROUP BY 1) SELECT least, (SELECT count(*) FROM b WHERE overlap >= least) AS n FROM (VALUES (0.5e0), (0.6e0), (0.7e0)) AS x(least)", "tracks")
+def orphan_overlaps(spark, sf_dir):
+    return audit.overlap_counts(resolution.best_overlaps(*placed(spark, sf_dir)))

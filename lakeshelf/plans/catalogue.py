@@ -499,12 +499,16 @@ TOKENS = f"list_filter(list_distinct(string_split({AUDIT}, ' ')), lambda t: leng
 MOVED = f"+ k AS (SELECT id, filepath, filesize_bytes AS size, regexp_extract(filepath,'\\.([a-z0-9]+)$',1) AS ext, {TOKENS} AS tok FROM v_tracks), "
 
 
-@query(MOVED + """p AS (SELECT o.id AS old_id, n.id AS new_id, n.filepath AS new_path, o.ext=n.ext AS same, abs(o.size-n.size)/CAST(o.size AS DOUBLE) AS off, len(list_intersect(o.tok,n.tok))/CAST(len(o.tok) AS DOUBLE) AS overlap FROM k o JOIN k n ON o.filepath<>n.filepath AND list_has_any(o.tok,n.tok) WHERE o.id%20=0 AND o.size>0)
-  SELECT old_id, new_id, round(0.6e0*overlap+0.3e0*greatest(0e0,1-off)+CASE WHEN same THEN 0.1e0 ELSE 0e0 END,9) AS score, row_number() OVER (PARTITION BY old_id ORDER BY 0.6e0*overlap+0.3e0*greatest(0e0,1-off)+CASE WHEN same THEN 0.1e0 ELSE 0e0 END DESC, new_path, new_id) AS place FROM p QUALIFY place<=5""", "tracks")
+SCORE = "round(0.6e0*overlap+0.3e0*CASE WHEN off IS NULL THEN 0e0 ELSE greatest(0e0,1-off) END+CASE WHEN same THEN 0.1e0 ELSE 0e0 END,6)"
+PAIRED = """abs(o.size-n.size)/CAST(CASE WHEN o.size>0 THEN o.size END AS DOUBLE) AS off, CASE WHEN len(o.tok)=0 THEN 0e0 ELSE len(list_intersect(o.tok,n.tok))/CAST(len(o.tok) AS DOUBLE) END AS overlap"""
+
+
+@query(MOVED + f"""p AS (SELECT o.id AS old_id, n.id AS new_id, n.filepath AS new_path, o.ext=n.ext AS same, {PAIRED} FROM k o JOIN k n ON o.filepath<>n.filepath WHERE o.id%20=0)
+  SELECT old_id, new_id, {SCORE} AS score, row_number() OVER (PARTITION BY old_id ORDER BY {SCORE} DESC, new_path, new_id) AS place FROM p WHERE {SCORE} > 0 QUALIFY place<=5""", "tracks")
 def orphan_top5(spark, sf_dir):
     rows = tracks(spark, sf_dir)
     found = resolution.moved_candidates(rows.where("id % 20 = 0"), rows, 5)
-    return found.select("old_id", "new_id", F.round("score", 9).alias("score"), "place")
+    return found.select("old_id", "new_id", "score", "place")
 
 
 @query(MOVED + """p AS (SELECT o.id AS old_id, n.id AS new_id, abs(o.size-n.size)/CAST(o.size AS DOUBLE) AS off, len(list_intersect(o.tok,n.tok))/CAST(len(o.tok) AS DOUBLE) AS overlap FROM k o JOIN k n ON o.filepath<>n.filepath AND list_has_any(o.tok,n.tok) AND o.ext=n.ext WHERE o.id%20=0 AND o.size>0)

@@ -202,3 +202,19 @@ def test_fuzzy_renames_equal_brute_force(spark):
 def test_parsers_bind_each_step_once(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 60
+
+
+def test_moved_files_need_no_common_word(spark):
+    old = spark.createDataFrame([(1, "/a/cold night.mp3", 1000), (2, "/a/(1).wav", None)], "id long, filepath string, filesize_bytes long")
+    new = spark.createDataFrame([(10, "/b/day.mp3", 1000), (11, "/b/night sun.mp3", 9), (12, "/b/z.flac", 500), (13, "/b/y.flac", 0)], "id long, filepath string, filesize_bytes long")
+    got = [(r["old_id"], r["new_id"], r["score"]) for r in resolution.moved_candidates(old, new).orderBy("old_id", "place").collect()]
+    assert got == [(1, 11, 0.4027), (1, 10, 0.4), (1, 12, 0.15)]  # the fourth scores 0, and so does all for a file without size, words or a format in common
+
+
+def test_several_safe_places_are_for_review(spark):
+    from lakeshelf.operators import audit
+
+    old = spark.createDataFrame([(1, "/a/Ann - Night Sun.mp3", 1000), (2, "/a/Bo - Cold Day.mp3", 2000)], "id long, filepath string, filesize_bytes long")
+    new = spark.createDataFrame([(10, "/b/Ann - Night Sun.mp3", 1000), (11, "/c/Ann - Night Sun.mp3", 1001), (12, "/c/Bo - Cold Day.mp3", 2001)], "id long, filepath string, filesize_bytes long")
+    rows = audit.tiered(resolution.moved_candidates(old, new), old, new).collect()
+    assert {(r["old_id"], r["new_id"]): r["review_tier"] for r in rows if r["score"] > 0.9} == {(1, 10): "REVIEW_CAREFULLY", (1, 11): "REVIEW_CAREFULLY", (2, 12): "AUTO_SAFE_CANDIDATE"}
