@@ -59,6 +59,13 @@ CREDITS = """SELECT p_partkey AS id, CASE p_partkey % 24 WHEN 0 THEN concat(p_br
     WHEN 16 THEN concat('African Roots', p_brand, ' Lee') WHEN 17 THEN 'Deep RootsLebo Koki (IT)' WHEN 18 THEN 'Ann Lee/Bob Fly | Koki Mo' WHEN 19 THEN 'AC/DC' WHEN 20 THEN 'Ann McBee, Some MusiQ' WHEN 21 THEN '  ' WHEN 22 THEN NULL ELSE 'Beyoncé, , Sigur Rós' END AS artist,
   CASE p_partkey % 5 WHEN 0 THEN concat(p_name, ' (feat. Zoe)') WHEN 1 THEN NULL ELSE p_name END AS title FROM part"""
 
+#: Tracks as an export reads them, and files of which some lie elsewhere.
+EXPORTS = """SELECT p_partkey AS id, concat('/lib/', CASE p_partkey % 31 WHEN 0 THEN 'Unknown (3).mp3' WHEN 1 THEN '.x.mp3' ELSE concat(CASE p_partkey % 4 WHEN 0 THEN p_name ELSE concat(p_brand, ' - ', p_name) END, ' ', CAST(p_partkey AS VARCHAR(20)), '.mp3') END) AS filepath,
+  CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' VA ' ELSE p_brand END AS artist, CASE p_partkey % 7 WHEN 0 THEN '' ELSE p_name END AS title, CASE p_partkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 0e0 WHEN 2 THEN 231.5e0 ELSE 120e0 + p_partkey % 9 END AS bpm,
+  CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 1 THEN '13A' ELSE concat(CAST(1 + p_partkey % 12 AS VARCHAR(2)), 'b') END AS key_camelot,
+  CASE p_partkey % 23 WHEN 0 THEN 'Deep House Classic' WHEN 1 THEN 'Afro Gospel House' WHEN 2 THEN 'afro-tech' WHEN 3 THEN 'beatport' WHEN 4 THEN NULL WHEN 5 THEN 'House Reprise' WHEN 6 THEN 'Minimal Techno; x' WHEN 7 THEN 'Jazz' WHEN 8 THEN 'classic gospel' WHEN 9 THEN 'Old School Hip-Hop'
+    WHEN 10 THEN 'R&B' WHEN 11 THEN '8A' WHEN 12 THEN 'Progressive Afro House' WHEN 13 THEN 'Gospel House' WHEN 14 THEN 'UK Garage' ELSE 'tech_house' END AS genre FROM part"""
+
 #: Tags of files with all faults that cleaning knows; every 17th has several artists.
 TAGS = """SELECT p_partkey AS id, p_partkey % 17 = 0 AS several, CASE p_partkey % 26 WHEN 0 THEN concat('02 | ', p_name) WHEN 1 THEN concat('3 ', p_name) WHEN 2 THEN concat('4 You ', p_name) WHEN 3 THEN concat('15 ', p_name) WHEN 4 THEN concat(p_name, ' (fordjonly.com) x')
     WHEN 5 THEN concat(p_name, ' 128') WHEN 6 THEN concat(p_name, ' 200') WHEN 7 THEN concat(p_name, ' (Xumba Recordings)122') WHEN 8 THEN concat(p_name, ' (Music Club Mix)') WHEN 9 THEN concat(p_name, ' (Feat. Ann)') WHEN 10 THEN concat(p_name, ' -  - x')
@@ -96,7 +103,7 @@ CANDIDATES = """SELECT l_orderkey AS track_id, row_number() OVER (PARTITION BY l
 JOBS = """SELECT event_id AS id, user_id AS job, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'succeeded' WHEN 'purchase' THEN 'failed' ELSE 'other' END AS state, ts AS since FROM events"""
 
 VIEWS = {
-    "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
+    "exports": (EXPORTS, ["part"]), "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
     "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
