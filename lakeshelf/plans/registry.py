@@ -1,6 +1,6 @@
 """All queries of the catalogue with their SQL."""
 
-from lakeshelf.plans import artists, auditing, cleaning, exports, parsing, reviewing, series
+from lakeshelf.plans import artists, auditing, cleaning, exports, labels, parsing, reviewing, series
 from lakeshelf.plans.catalogue import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "artists", "auditing", "cleaning", "exports", "parsing", "reviewing", "series"]
+__all__ = ["ORACLE_SQL", "QUERIES", "artists", "auditing", "cleaning", "exports", "labels", "parsing", "reviewing", "series"]

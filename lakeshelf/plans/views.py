@@ -66,6 +66,12 @@ EXPORTS = """SELECT p_partkey AS id, concat('/lib/', CASE p_partkey % 31 WHEN 0
   CASE p_partkey % 23 WHEN 0 THEN 'Deep House Classic' WHEN 1 THEN 'Afro Gospel House' WHEN 2 THEN 'afro-tech' WHEN 3 THEN 'beatport' WHEN 4 THEN NULL WHEN 5 THEN 'House Reprise' WHEN 6 THEN 'Minimal Techno; x' WHEN 7 THEN 'Jazz' WHEN 8 THEN 'classic gospel' WHEN 9 THEN 'Old School Hip-Hop'
     WHEN 10 THEN 'R&B' WHEN 11 THEN '8A' WHEN 12 THEN 'Progressive Afro House' WHEN 13 THEN 'Gospel House' WHEN 14 THEN 'UK Garage' ELSE 'tech_house' END AS genre FROM part"""
 
+#: Fields and file names that may hold a record label, in several spellings of each.
+LABELLED = """SELECT p_partkey AS id, concat('/lib/', CASE p_partkey % 9 WHEN 0 THEN '[Toolroom] Ann - Night' WHEN 1 THEN '(Sub Label) Ann - Night' WHEN 2 THEN 'Ann - Night (Some Records)' WHEN 3 THEN 'Some_Label__Ann__Night' WHEN 4 THEN 'Label Co__Ann' WHEN 5 THEN 'Ann - Night [Deep Music]' WHEN 6 THEN '[8A] Ann - Night' ELSE 'Ann - Night' END, '.mp3') AS filepath,
+  CASE p_partkey % 13 WHEN 0 THEN concat(p_brand, ' Records') WHEN 1 THEN upper(concat(p_brand, ' recordings')) WHEN 2 THEN p_brand WHEN 3 THEN '8A -' WHEN 4 THEN 'www.pool.com' WHEN 5 THEN 'pool.net' WHEN 6 THEN 'Deep House' WHEN 7 THEN '[ va ]' WHEN 8 THEN 'ABC001' WHEN 9 THEN 'Records' WHEN 10 THEN concat(p_brand, '  Music  Group') ELSE NULL END AS organization,
+  CASE p_partkey % 7 WHEN 0 THEN concat(p_brand, '!') WHEN 1 THEN 'x' WHEN 2 THEN 'promo only' ELSE '' END AS grouping, CASE p_partkey % 11 WHEN 0 THEN 'Beyoncé Records' WHEN 1 THEN '??' ELSE NULL END AS comment,
+  CASE p_partkey % 5 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Ann Music' WHEN 2 THEN 'djcity music' ELSE NULL END AS albumartist, CASE p_partkey % 3 WHEN 0 THEN 'Night Sounds' WHEN 1 THEN '000' ELSE 'Night' END AS album FROM part"""
+
 #: Tags of files with all faults that cleaning knows; every 17th has several artists.
 TAGS = """SELECT p_partkey AS id, p_partkey % 17 = 0 AS several, CASE p_partkey % 26 WHEN 0 THEN concat('02 | ', p_name) WHEN 1 THEN concat('3 ', p_name) WHEN 2 THEN concat('4 You ', p_name) WHEN 3 THEN concat('15 ', p_name) WHEN 4 THEN concat(p_name, ' (fordjonly.com) x')
     WHEN 5 THEN concat(p_name, ' 128') WHEN 6 THEN concat(p_name, ' 200') WHEN 7 THEN concat(p_name, ' (Xumba Recordings)122') WHEN 8 THEN concat(p_name, ' (Music Club Mix)') WHEN 9 THEN concat(p_name, ' (Feat. Ann)') WHEN 10 THEN concat(p_name, ' -  - x')
@@ -103,7 +109,7 @@ CANDIDATES = """SELECT l_orderkey AS track_id, row_number() OVER (PARTITION BY l
 JOBS = """SELECT event_id AS id, user_id AS job, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'succeeded' WHEN 'purchase' THEN 'failed' ELSE 'other' END AS state, ts AS since FROM events"""
 
 VIEWS = {
-    "exports": (EXPORTS, ["part"]), "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
+    "labelled": (LABELLED, ["part"]), "exports": (EXPORTS, ["part"]), "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
     "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
