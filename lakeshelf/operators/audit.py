@@ -110,6 +110,13 @@ def actions(findings: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def planned(rows: DataFrame, kind: Column) -> DataFrame:
+    """The actions of findings (id, old_path, new_path) by their kind, in one pass over them; other kinds are left for review."""
+    table = F.create_map(*[x for k, (action, risk) in ACTIONS.items() for x in (F.lit(k), F.struct(F.lit(action).alias("action"), F.lit(risk).alias("risk")))])
+    found = rows.withColumn("kind", kind).withColumn("__what", F.coalesce(table[F.col("kind")], F.struct(F.lit("review").alias("action"), F.lit("high").alias("risk"))))
+    return found.select("__what.action", "__what.risk", "kind", "id", "old_path", "new_path")
+
+
 def references(refs: DataFrame, renames: DataFrame) -> DataFrame:
     """refs (id, filepath) with the new_path of a rename (old_path, new_path) and `resolved`; of several renames the least path."""
     one = renames.groupBy("old_path").agg(F.min("new_path").alias("new_path"))

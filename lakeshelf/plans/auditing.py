@@ -63,8 +63,8 @@ TIERED = f"""r AS (SELECT *, {VERSIONS.of('old_path')} <> {VERSIONS.of('new_path
 def pairs(spark, sf_dir):
     old, new = F.col("old_path"), F.col("new_path")
     kind = rules.tier(F.col("score"), F.col("overlap"), F.col("off"), text.extension(old) == text.extension(new), old, new)
-    return view(spark, sf_dir, "pairs").select("*", rules.version_tokens(old).alias("versions"), (rules.version_tokens(old) != rules.version_tokens(new)).alias("version"),
-        rules.number_toggled(old, new).alias("number"), rules.more_artists(old, new).alias("artists"), kind.alias("tier"))
+    rows = view(spark, sf_dir, "pairs").select("*", rules.differences(old, new).alias("d"), kind.alias("tier"))
+    return rows.select("*", "d.versions", "d.version", "d.number", "d.artists").drop("d")
 
 
 @query(f"+ {TIERED} SELECT id, array_to_string({VERSIONS.of('old_path')}, ',') AS versions, version, number, artists, tier FROM t", "pairs")
@@ -89,9 +89,7 @@ PLAN = f"""{TIERED}, k AS (SELECT *, {KINDS} AS kind FROM t), p AS (SELECT CASE
 def plan(spark, sf_dir):
     rows = pairs(spark, sf_dir).withColumn("old_path", F.when(F.col("id") % 50 == 0, "").otherwise(F.col("old_path"))).withColumn("new_path", F.when(F.col("id") % 30 != 0, F.col("new_path")))
     kind = F.when(F.col("tier") == rules.TIERS[0], "moved_auto_safe").when(F.col("tier") == rules.TIERS[2], "missing_file").when(F.col("number"), "unresolved_reference").otherwise("moved_review")
-    found = {k: rows.where(kind == k) for k in ("moved_auto_safe", "missing_file", "unresolved_reference", "moved_review")}
-    found["missing_file"] = found["missing_file"].withColumn("new_path", F.lit(None).cast("string"))
-    return audit.actions(found)
+    return audit.planned(rows.withColumn("new_path", F.when(kind != "missing_file", F.col("new_path"))), kind)
 
 
 @query(f"+ {PLAN} SELECT action, risk, count(*) AS n FROM p GROUP BY 1, 2", "pairs")
@@ -151,3 +149,13 @@ def orphan_tiers(spark, sf_dir):
 @query(f"{PLACED}, b AS (SELECT old_id, max(overlap) AS overlap FROM p WHERE same GROUP BY 1) SELECT least, (SELECT count(*) FROM b WHERE overlap >= least) AS n FROM (VALUES (0.5e0), (0.6e0), (0.7e0)) AS x(least)", "tracks")
 def orphan_overlaps(spark, sf_dir):
     return audit.overlap_counts(resolution.best_overlaps(*placed(spark, sf_dir)))
+
+
+@query("""+ m AS (SELECT old_path, min(new_path) AS new_path FROM v_pairs WHERE id % 2 = 0 GROUP BY 1), r AS (SELECT id, r.old_path, m.new_path FROM v_pairs r LEFT JOIN m USING (old_path)),
+  a AS (SELECT 'stale_state' AS kind, 'mark_stale' AS action, 'low' AS risk, id, filepath AS old_path, CAST(NULL AS VARCHAR) AS new_path FROM v_tracks WHERE status = 'stale' UNION ALL SELECT 'stale_reference', 'update_reference', 'low', id, old_path, new_path FROM r WHERE new_path IS NOT NULL
+    UNION ALL SELECT 'unresolved_reference', 'review_reference', 'high', id, old_path, new_path FROM r WHERE new_path IS NULL UNION ALL SELECT 'odd', 'review', 'high', id, filepath, NULL FROM v_tracks WHERE status = 'error')
+  SELECT * FROM a""", "tracks", "pairs")
+def joined_actions(spark, sf_dir):
+    rows, found = tracks(spark, sf_dir), reference_renames(spark, sf_dir)
+    states = {status: rows.where(F.col("status") == status).select("id", F.col("filepath").alias("old_path"), F.lit(None).cast("string").alias("new_path")) for status in ("stale", "error")}
+    return audit.actions({"stale_state": states["stale"], "stale_reference": found.where("resolved"), "unresolved_reference": found.where("NOT resolved"), "odd": states["error"]})
