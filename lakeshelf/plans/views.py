@@ -72,6 +72,18 @@ LABELLED = """SELECT p_partkey AS id, concat('/lib/', CASE p_partkey % 9 WHEN 0
   CASE p_partkey % 7 WHEN 0 THEN concat(p_brand, '!') WHEN 1 THEN 'x' WHEN 2 THEN 'promo only' ELSE '' END AS grouping, CASE p_partkey % 11 WHEN 0 THEN 'Beyoncé Records' WHEN 1 THEN '??' ELSE NULL END AS comment,
   CASE p_partkey % 5 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Ann Music' WHEN 2 THEN 'djcity music' ELSE NULL END AS albumartist, CASE p_partkey % 3 WHEN 0 THEN 'Night Sounds' WHEN 1 THEN '000' ELSE 'Night' END AS album FROM part"""
 
+#: Actions of a plan with every fault, approvals of some, and ledger rows.
+ACTIONS = """SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'delete_file' WHEN 2 THEN 'mark_orphan_candidate' WHEN 3 THEN 'update_queue_reference' WHEN 4 THEN 'update_queue_reference' ELSE 'update_path_reference' END AS action,
+  CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 1 THEN concat('/out/', CAST(p_partkey AS VARCHAR(20))) ELSE concat('/lib/', CASE p_partkey % 2 WHEN 0 THEN './' ELSE '' END, CAST(p_partkey AS VARCHAR(20))) END AS old_path,
+  CASE p_partkey % 11 WHEN 0 THEN '' WHEN 1 THEN '/elsewhere' ELSE concat('/lib/new/', CAST(p_partkey % 500 AS VARCHAR(20))) END AS new_path, CAST(NULL AS VARCHAR(9)) AS filepath,
+  CASE p_partkey % 7 WHEN 0 THEN 'WEAK_MATCH' WHEN 1 THEN 'REVIEW_CAREFULLY' WHEN 2 THEN 'ODD' WHEN 3 THEN NULL ELSE 'AUTO_SAFE_CANDIDATE' END AS review_tier, CASE p_partkey % 5 WHEN 0 THEN 'REVIEW_REQUIRED' WHEN 1 THEN 'HIGH' WHEN 2 THEN NULL ELSE 'LOW' END AS risk,
+  CASE p_partkey % 6 WHEN 0 THEN '1.5' WHEN 1 THEN 'much' WHEN 2 THEN NULL ELSE '0.9' END AS confidence, p_partkey % 31 = 0 AS report_only, p_partkey % 4 = 0 AS unresolved, CASE p_partkey % 3 WHEN 0 THEN concat('a', CAST(p_partkey AS VARCHAR(20))) ELSE NULL END AS action_id,
+  CAST(NULL AS VARCHAR(9)) AS ledger_id, CAST(NULL AS VARCHAR(9)) AS queue_file, p_partkey % 41 = 0 AS approved, CASE p_partkey % 37 WHEN 0 THEN 'Approved' ELSE NULL END AS review_status FROM part"""
+LEDGERS = """SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN '' ELSE concat('l', CAST(p_partkey AS VARCHAR(20))) END AS ledger_id, '2024-01-01' AS created_at, CASE p_partkey % 12 WHEN 0 THEN NULL ELSE 'update' END AS operation_type, 'applied' AS status,
+  CASE p_partkey % 5 WHEN 0 THEN '/gone' WHEN 1 THEN NULL ELSE '/lib' END AS root, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '/lib/none' ELSE concat('/lib/', CAST(p_partkey AS VARCHAR(20))) END AS old_path, CASE p_partkey % 8 WHEN 0 THEN '/lib/none' ELSE '' END AS new_path,
+  CASE p_partkey % 7 WHEN 0 THEN '["tracks", " "]' WHEN 1 THEN '"tracks"' WHEN 2 THEN 'tracks, states,' WHEN 3 THEN '' WHEN 4 THEN concat(chr(123), '"a": 1', chr(125)) WHEN 5 THEN '[]' ELSE NULL END AS affected_tables,
+  CASE p_partkey % 4 WHEN 0 THEN concat(chr(123), '"a": 1', chr(125)) WHEN 1 THEN 'x' WHEN 2 THEN '' ELSE '[1]' END AS before_values_json, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '1' ELSE concat(chr(123), '"a": ', chr(125)) END AS after_values_json FROM part"""
+
 #: Tags of files with all faults that cleaning knows; every 17th has several artists.
 TAGS = """SELECT p_partkey AS id, p_partkey % 17 = 0 AS several, CASE p_partkey % 26 WHEN 0 THEN concat('02 | ', p_name) WHEN 1 THEN concat('3 ', p_name) WHEN 2 THEN concat('4 You ', p_name) WHEN 3 THEN concat('15 ', p_name) WHEN 4 THEN concat(p_name, ' (fordjonly.com) x')
     WHEN 5 THEN concat(p_name, ' 128') WHEN 6 THEN concat(p_name, ' 200') WHEN 7 THEN concat(p_name, ' (Xumba Recordings)122') WHEN 8 THEN concat(p_name, ' (Music Club Mix)') WHEN 9 THEN concat(p_name, ' (Feat. Ann)') WHEN 10 THEN concat(p_name, ' -  - x')
@@ -109,7 +121,7 @@ CANDIDATES = """SELECT l_orderkey AS track_id, row_number() OVER (PARTITION BY l
 JOBS = """SELECT event_id AS id, user_id AS job, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'succeeded' WHEN 'purchase' THEN 'failed' ELSE 'other' END AS state, ts AS since FROM events"""
 
 VIEWS = {
-    "labelled": (LABELLED, ["part"]), "exports": (EXPORTS, ["part"]), "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
+    "actions": (ACTIONS, ["part"]), "ledgers": (LEDGERS, ["part"]), "labelled": (LABELLED, ["part"]), "exports": (EXPORTS, ["part"]), "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
     "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
