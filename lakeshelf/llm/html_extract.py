@@ -3,9 +3,11 @@
 Every block of text has a path: the block-level tags from the root down to it, with their classes. Per path the text's
 length and punctuation per block are aggregated, damped by the share of link text, smoothed along the page, fused, and
 thresholded; paths above the threshold are content. Containers that name themselves as something else (menus, adverts,
-reader comments, forms and so on) by their tag are never content; by a word of their class, id or role their paths' scores
-are lowered and must still reach the best other path's, unless the container holds an article or main element or, on pages without one, most of the scored text. A container that names itself the article only raises the score of
-its paths; if any of them is content, it takes in its short blocks too, as does the parent of the content paths.
+reader comments, forms and so on) by their tag are never content, unless a form, aside or header is a wrapper that holds
+most of the scored text, or a form most of that in articles; by a word of their class, id or role their paths' scores are lowered and must still reach the best
+other path's, unless the container holds an article or main element or, on pages without one, most of the scored text. A
+container that names itself the article only raises the score of its paths. Beside content come the headings above it and
+the short blocks that lie between its blocks on the page, below the elements right around content.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BLOCK = set(
     "html body head div p section article main header footer nav aside form h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption address details summary hr fieldset legend center menu dialog hgroup option select button".split()
 )
+#: Of these, those that hold most of the scored text are wrappers.
+WRAPPERS = {"form", "aside", "fieldset", "header"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag on the left ends an open element on the right of its own parent.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"tr", "thead"}, "tfoot": {"tr", "tbody"}}
@@ -141,6 +145,7 @@ class Open:
     dropped: bool  # by its tag, or as a part of such an element
     article: int  # the number of the outermost article container, or 0
     named: int  # the number of the innermost container with another name, or 0
+    wrapped: int  # the number of the innermost WRAPPERS element, or 0
     inside: bool  # in an article or main element
 
 
@@ -152,9 +157,12 @@ class Block:
 
 
 def blocks(page: str) -> tuple[list[Block], Paths, list[int]]:
-    """The blocks with text in page order, the page's paths, and for each container with another name the one around it."""
-    out, paths, parts, links, articles, others = [], Paths(), [], 0, 0, [0]
-    open_, counts, in_link = [Open("", 0, False, 0, 0, False)], Counter(), False
+    """The blocks with text in page order, the page's paths, and for each container with another name the one around it.
+
+    Blocks in WRAPPERS that hold too little are dropped.
+    """
+    out, paths, parts, links, articles, others, wrappers, forms = [], Paths(), [], 0, 0, [0], [0], [False]
+    open_, counts, in_link = [Open("", 0, False, 0, 0, 0, False)], Counter(), False
 
     def flush() -> None:
         nonlocal parts, links
@@ -198,17 +206,43 @@ def blocks(page: str) -> tuple[list[Block], Paths, list[int]]:
             if not whole and OTHER_WORDS.intersection(names) and not (tag in ARTICLE and "comment" not in names and "comments" not in names):
                 others.append(named)
                 named = len(others) - 1
-            dropped = outer.dropped or tag in DROPPED or tag == "header" and not article
+            wrapped = outer.wrapped
+            if tag in WRAPPERS and not (tag == "header" and article):
+                wrappers.append(wrapped)
+                forms.append(tag in ("form", "fieldset"))
+                wrapped = len(wrappers) - 1
+            dropped = outer.dropped or tag in DROPPED - WRAPPERS
             if not article and not dropped and not whole and tag not in HEADINGS and (tag in ARTICLE or ARTICLE_WORDS.intersection(names)):
                 articles += 1
                 article = articles
             path = paths.below(outer.path, ".".join([tag, *names]))
-            open_.append(Open(tag, path, dropped, 0 if dropped else article, named, not dropped and (outer.inside or tag in ARTICLE)))
+            open_.append(Open(tag, path, dropped, 0 if dropped else article, named, wrapped, not dropped and (outer.inside or tag in ARTICLE)))
             counts[tag] += 1
     flush()
+    drop_parts(out, wrappers, forms)
     return out, paths, others
 
 
+def drop_parts(found: list[Block], outer: list[int], forms: list[bool]) -> None:
+    """Marks the blocks of WRAPPERS as dropped that hold most neither of the scored text nor, as a form, of that in articles."""
+    gone = [True] * len(outer)
+    for articles in (False, True):
+        scored = [0] * len(outer)
+        for b in found:
+            if not b.at.dropped and (b.at.inside or not articles):
+                scored[b.at.wrapped] += max(0, len(b.text) - b.links)
+        total = sum(scored)
+        for k in range(len(outer) - 1, 0, -1):
+            gone[k] &= 2 * scored[k] <= total or articles and not forms[k]
+            scored[outer[k]] += scored[k]
+    gone[0] = False
+    for k in range(1, len(outer)):
+        gone[k] |= gone[outer[k]]
+    for b in found:
+        if gone[b.at.wrapped]:
+            b.at.dropped, b.at.article, b.at.inside = True, 0, False
+
+
 def lowered(found: list[Block], outer: list[int]) -> list[bool]:
     """Whether each block lies in a container with another name that isn't a wrapper.
 
@@ -267,20 +301,39 @@ def main_text(page: str) -> str:
     fused[article & ~is_low] *= RAISED  # after the threshold is known, so that no other path falls below it
     best = fused[~is_low].max(initial=0.0)
     content = (fused > 0) & (fused >= np.where(is_low, max(least, best), least))
-    taken = {b.at.article for b, k, is_low in zip(found, of, low, strict=True) if b.at.article and not is_low and content[k]}
     parents = {paths.parent[path] for (path, is_low), k in number.items() if content[k] and not is_low}
-    below = [False] * len(paths.label)  # whether a path lies in a parent of content, other than the body
-    for path in range(len(below)):
-        below[path] = below[paths.parent[path]] or path in parents and paths.depth[path] > 2
+    own = [content[k] and not b.at.dropped for b, k in zip(found, of, strict=True)]
+    near = beside([b.at.path for b in found], own, parents, paths)
     chosen = []
-    for b, k, is_low in zip(found, of, low, strict=True):
-        path = b.at.path
-        beside = b.at.article in taken or below[path] or paths.parent[path] in parents and paths.tag(path) in HEADINGS
-        if not b.at.dropped and (content[k] or beside and not is_low) and not linked_only(paths.tag(path), b.text, b.links):
+    for b, ours, close, is_low in zip(found, own, near, low, strict=True):
+        if (ours or close and not is_low and not b.at.dropped) and not linked_only(paths.tag(b.at.path), b.text, b.links):
             chosen.append(b.text)
     return "\n\n".join(chosen)
 
 
+def beside(at: list[int], own: list[bool], parents: set[int], paths: Paths) -> list[bool]:
+    """Whether each block belongs to content beside it; at: the blocks' paths, own: whether they are content.
+
+    Only blocks below one of parents, the elements right around content, belong to it: headings if content follows before
+    the page leaves these elements, other blocks if content or such a heading comes before and content comes after.
+    Right below the body only headings do.
+    """
+    inside = [False] * len(paths.label)
+    for path in range(1, len(inside)):
+        up = paths.parent[path]
+        inside[path] = inside[up] or up in parents and paths.depth[up] > 2
+    out, leads = [False] * len(at), False
+    for i in range(len(at) - 1, -1, -1):
+        if own[i]:
+            leads = True
+        elif inside[at[i]] or paths.parent[at[i]] in parents:
+            out[i] = leads and paths.tag(at[i]) in HEADINGS
+        else:
+            leads = False
+    places = [i for i in range(len(at)) if own[i] or out[i]]
+    return [out[i] or inside[at[i]] and places[0] < i < places[-1] for i in range(len(at))] if places else out
+
+
 def linked_only(tag: str, text: str, links: int) -> bool:
     """A list item or cell that is a link and no more, as in a menu."""
     return tag in ("li", "td", "dd", "ul", "div") and links >= len(text) > 0

@@ -125,7 +125,14 @@ def plain_selection(elements):
     fused = [a * b for a, b in zip(smooth(length), smooth(marks), strict=True)]
     content = {p for p, f in zip(paths, fused, strict=True) if f >= sum(fused) / len(fused)}
     parents = {p[:-1] for p in content}
-    return [t for p, t in elements if p in content or any(len(q) > 2 and p[: len(q)] == q for q in parents) or p[-1] == "h2" and p[:-1] in parents]
+    inside = [any(len(q) > 2 and p[: len(q)] == q for q in parents) for p, _ in elements]
+    chosen = {k for k, (p, _) in enumerate(elements) if p in content}
+    for k, (p, _) in enumerate(elements):
+        later = next((j for j in range(k, len(elements)) if elements[j][0] in content or not (inside[j] or elements[j][0][:-1] in parents)), None)
+        if p[-1] == "h2" and later is not None and later > k and elements[later][0] in content:
+            chosen.add(k)
+    between = {k for k in range(len(elements)) if inside[k] and chosen and min(chosen) < k < max(chosen)}
+    return [t for k, (_, t) in enumerate(elements) if k in chosen | between]
 
 
 def test_path_ratios_equal_the_formulas():
@@ -143,6 +150,27 @@ def test_path_ratios_equal_the_formulas():
         assert html_extract.main_text(page) == "\n\n".join(plain_selection(elements))
 
 
+@pytest.mark.parametrize("page", ["<article>{}<div class='box'><p>Buy our shoes</p></div></article>", "<div class='content'>{}<div><span>Sign in to read more offers</span></div></div>", "<div class='box'><p>Buy our shoes</p></div><article>{}</article>"])
+def test_an_article_name_does_not_take_in_what_scores_low(page):
+    inner = f"<h1>Title</h1><div>By X</div><p>{ARTICLE}</p><ul><li>An item</li></ul><p>{ARTICLE}</p>"
+    assert html_extract.main_text(f"<html><body>{page.format(inner)}</body></html>") == f"Title\n\nBy X\n\n{CLEAN}\n\nAn item\n\n{CLEAN}"
+
+
+@pytest.mark.parametrize("wrapper", ["<form id='aspnetForm'>{}</form>", "<form><article>{}</article><div>Go</div></form>", "<header>{}</header>", "<aside><main>{}</main></aside>"])
+def test_forms_and_headers_around_most_of_the_text_are_wrappers(wrapper):
+    body = wrapper.format(f"<p>{ARTICLE}</p><p>{ARTICLE}</p><nav><p>{ARTICLE}</p></nav><form><p>Your name, please.</p></form>")
+    assert html_extract.main_text(f"<html><body>{body}</body></html>") == f"{CLEAN}\n\n{CLEAN}"
+    other = "<form><p>Write to us, and we answer.</p></form><aside><article>A teaser, with little text.</article></aside>"
+    assert html_extract.main_text(f"<html><body>{body}{other}</body></html>") == f"{CLEAN}\n\n{CLEAN}"
+
+
+def test_ratios_decide_between_paths_of_an_article(monkeypatch):
+    page = f"<html><body><article><p>{ARTICLE}</p><div class='x'><p>Short one.</p></div></article></body></html>"
+    assert html_extract.main_text(page) == CLEAN
+    monkeypatch.setattr(html_extract, "smoothed", lambda values: values.max() - values + 1)
+    assert html_extract.main_text(page) == "Short one."
+
+
 @pytest.mark.parametrize("piece", ["<a href='", "<div>", "<div class='ad'>", "<a '>'", "</div>", "<p><b '\">", "<div>x</p>", "<article><p class='ad'>x"])
 def test_broken_pages_take_linear_time(piece):
     began = time.process_time()
@@ -168,7 +196,8 @@ def test_pages(spark, data):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{os.path.join(data, 'documents.parquet')}')")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{os.path.join(data, table)}.parquet')")
     df = registry.QUERIES[name](spark, data)
     columns = sorted(df.columns)
     found = con.execute(registry.ORACLE_SQL[name])
