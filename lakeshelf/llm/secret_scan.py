@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeshelf.llm.common import stored
-from lakeshelf.llm.spans import spans
+from lakeshelf.llm.spans import blocks, bound, spans
 
 #: Kind: (a cheap test of the whole text, pattern, group that holds the candidate, its least length).
 #: Where a match is one run of characters, its least length is in the pattern; for assign it can't be, as a short match
@@ -52,9 +52,19 @@ def matches(text: Column) -> Column:
 
 
 def without_covered(found: Column) -> Column:
-    """Candidates that overlap no base match, and all base matches."""
-    base = F.filter(found, lambda m: m["kind"] != "owned")
-    return F.filter(found, lambda m: (m["kind"] != "owned") | ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    """Candidates that overlap no base match, and all base matches; found is ordered by start.
+
+    A candidate is compared with the range of each block of base matches, and with the matches of those it touches.
+    """
+
+    def apart(base: Column) -> Column:
+        ranged = F.transform(blocks(base), lambda b: F.struct(F.array_min(F.transform(b, lambda m: m["start"])).alias("start"), F.array_max(F.transform(b, lambda m: m["end"])).alias("end"), b.alias("all")))
+        return bound(ranged, lambda parts: F.filter(found, lambda m: (m["kind"] != "owned") | ~F.exists(parts, lambda p: overlap(p, m) & F.exists(p["all"], lambda b: overlap(b, m)))))
+
+    def overlap(a: Column, b: Column) -> Column:
+        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    return bound(F.filter(found, lambda m: m["kind"] != "owned"), lambda base: F.when(F.size(base) > 0, apart(base)).otherwise(found))
 
 
 def ownership(rows: DataFrame) -> DataFrame:
@@ -82,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.monotonically_increasing_id().alias("row_no"),
         F.col(repo_col or id_col).alias("repo"),
         F.col(owner_col).alias("owner"),
-        without_covered(matches(F.coalesce(F.col(text_col), F.lit("")))).alias("found"),
+        bound(matches(F.coalesce(F.col(text_col), F.lit(""))), without_covered).alias("found"),
     )
     rows = stored(rows, "matches")
     some = rows.where(F.size("found") > 0)

@@ -11,10 +11,22 @@ def gaps_and_matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def bound(value: Column, use: "callable") -> Column:
+    """use(value) with the value computed once for each row, however often its lambdas name it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks(items: Column) -> Column:
+    """A non-empty array as an array of its runs, about as many as their length; items should be bound."""
+    width = F.ceil(F.sqrt(F.size(items))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int")), lambda k: F.slice(items, k * width + 1, width))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start long, end long, value string, part string>> of a pattern's matches; part is the given group.
 
-    Positions are code points, end exclusive.
+    Positions are code points, end exclusive. Matches are placed within blocks, and the blocks by their sizes, as an array
+    that grows by one match a step would be copied each time.
     """
     gaps, found = gaps_and_matches(text, pattern)
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -27,8 +39,17 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         new = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"), pair["part"].alias("part"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(new)).alias("found"))
 
+    def moved(m: Column, by: Column) -> Column:
+        return F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value"), m["part"].alias("part"))
+
+    def joined(placed: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+        offsets = F.aggregate(placed, zero, lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"])
+        return F.flatten(F.zip_with(placed, offsets, lambda p, by: F.transform(p["found"], lambda m: moved(m, by))))
+
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value"), parts.alias("part")), lambda p: p["value"].isNotNull())
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda state: state["found"])).otherwise(empty)
+    placed = bound(pairs, lambda p: bound(F.transform(blocks(p), lambda b: F.aggregate(b, start, step)), joined))
+    return F.when(F.size(found) > 0, placed).otherwise(empty)
 
 
 def replaced(text: Column, pattern: str, new: "callable") -> Column:

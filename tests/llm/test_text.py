@@ -2,10 +2,12 @@
 
 import datetime
 import hashlib
+import itertools
 import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -147,6 +149,20 @@ def test_ownership_separates_copied_from_live(spark, nothing):
     assert secret_scan.scan(nothing).collect() == []
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 matches, half of them base ones, keep their places; the time is nearly in proportion to them."""
+    numbers = random.Random(3)
+    words = [numbers.randbytes(16).hex() if k % 2 else "zqa9" + numbers.randbytes(12).hex().upper() for k in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(words) + " token=" + "Aa1" * 9, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    row = secret_scan.summary(secret_scan.scan(docs)).first()
+    assert time.time() - began < 60
+    starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
+    want = [f"{'hex' if k % 2 else 'owned'}:{starts[k]}:{starts[k] + len(w)}" for k, w in enumerate(words)]
+    by_kind = {kind: [s for s in row["spans"].split(",") if s.startswith(kind)] for kind in ("hex", "owned", "assign")}
+    assert by_kind["hex"] == [w for w in want if w.startswith("hex")] and by_kind["assign"] == [f"assign:{starts[-1]}:{starts[-1] + 33}"]
+
+
 def test_samples_of_one_owner_are_not_live(spark):
     rows = [(k, "token=abcdefgh12345", "a") for k in range(secret_scan.LIVE_REPOSITORIES + 1)] + [(100, "token=zzzzzzzz99999", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
