@@ -84,6 +84,9 @@ LEDGERS = """SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN '' ELSE con
   CASE p_partkey % 7 WHEN 0 THEN '["tracks", " "]' WHEN 1 THEN '"tracks"' WHEN 2 THEN 'tracks, states,' WHEN 3 THEN '' WHEN 4 THEN concat(chr(123), '"a": 1', chr(125)) WHEN 5 THEN '[]' ELSE NULL END AS affected_tables,
   CASE p_partkey % 4 WHEN 0 THEN concat(chr(123), '"a": 1', chr(125)) WHEN 1 THEN 'x' WHEN 2 THEN '' ELSE '[1]' END AS before_values_json, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '1' ELSE concat(chr(123), '"a": ', chr(125)) END AS after_values_json FROM part"""
 
+#: Frames of a track's features, two a second: as many as it has order lines.
+FRAMES = """SELECT l_partkey AS id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) - 1 AS frame, l_quantity / 50e0 AS level, l_discount * 10e0 AS bass, l_tax * 12e0 AS flux FROM lineitem"""
+
 #: Tags of files with all faults that cleaning knows; every 17th has several artists.
 TAGS = """SELECT p_partkey AS id, p_partkey % 17 = 0 AS several, CASE p_partkey % 26 WHEN 0 THEN concat('02 | ', p_name) WHEN 1 THEN concat('3 ', p_name) WHEN 2 THEN concat('4 You ', p_name) WHEN 3 THEN concat('15 ', p_name) WHEN 4 THEN concat(p_name, ' (fordjonly.com) x')
     WHEN 5 THEN concat(p_name, ' 128') WHEN 6 THEN concat(p_name, ' 200') WHEN 7 THEN concat(p_name, ' (Xumba Recordings)122') WHEN 8 THEN concat(p_name, ' (Music Club Mix)') WHEN 9 THEN concat(p_name, ' (Feat. Ann)') WHEN 10 THEN concat(p_name, ' -  - x')
@@ -121,7 +124,7 @@ CANDIDATES = """SELECT l_orderkey AS track_id, row_number() OVER (PARTITION BY l
 JOBS = """SELECT event_id AS id, user_id AS job, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'succeeded' WHEN 'purchase' THEN 'failed' ELSE 'other' END AS state, ts AS since FROM events"""
 
 VIEWS = {
-    "actions": (ACTIONS, ["part"]), "ledgers": (LEDGERS, ["part"]), "labelled": (LABELLED, ["part"]), "exports": (EXPORTS, ["part"]), "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
+    "frames": (FRAMES, ["lineitem"]), "actions": (ACTIONS, ["part"]), "ledgers": (LEDGERS, ["part"]), "labelled": (LABELLED, ["part"]), "exports": (EXPORTS, ["part"]), "tags": (TAGS, ["part"]), "credits": (CREDITS, ["part"]), "queue": (QUEUE, ["part"]), "candidates": (CANDIDATES, ["lineitem"]), "jobs": (JOBS, ["events"]),
     "pairs": (PAIRS, ["part"]), "noise": (NOISE, ["part"]), "names": (NAMES, ["part"]),
     "tracks": (TRACKS, ["part"]), "states": (STATES, ["events"]), "sets": (SETS, ["orders"]), "set_tracks": (SET_TRACKS, ["lineitem"]),
     "reviews": (REVIEWS, ["labels"]), "files": (FILES, ["documents"]), "played": (PLAYED, ["conversations"]), "inbox": (INBOX, ["events"]),
