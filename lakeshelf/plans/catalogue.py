@@ -372,6 +372,11 @@ def set_build(spark, sf_dir):
     return mixing.build_sets(tracks(spark, sf_dir).where("genre IS NOT NULL"), "genre")
 
 
+@query()
+def phased_sets(spark, sf_dir):
+    return mixing.phased_sets(tracks(spark, sf_dir).where("genre IS NOT NULL"), "genre", vibe="deep")
+
+
 @query("SELECT review_status, count(*) AS n, min(item_id) AS first_item, max(item_id) AS last_item FROM v_reviews GROUP BY 1", "reviews")
 def review_rollup(spark, sf_dir):
     return state.review_rollup(view(spark, sf_dir, "reviews"))
