@@ -191,6 +191,15 @@ def phased_sets(tracks: DataFrame, group: str, minutes: float = 60, vibe: str =
     empty = {"at": "0", "played": "0.0D", "picks": f"CAST(array() AS array<struct<phase:string,id:{id_type}>>)", "artists": "CAST(array() AS array<string>)", "names": "CAST(array() AS array<string>)"}
     state = kept(advanced(first.select("__group", "q", F.col("q").alias("p"), *[F.expr(e).alias(c) for c, e in empty.items()]), F.col("q")))
     few = state.count() <= MOST_BROADCAST
+    # the same expressions serve every pick
+    apart = scoring.wheel_distance(F.col("now_key_camelot"), F.col("key_camelot"))
+    in_key = (apart == 0) | ((apart == 1) & (scoring.wheel_mode(F.col("now_key_camelot")) == scoring.wheel_mode(F.col("key_camelot"))))
+    near = in_key & (F.abs(F.col("bpm") - F.col("now_bpm")) <= max_jump if max_jump > 0 else F.lit(True))
+    recent = (F.col("__artist") != "") & F.array_contains(F.slice(F.reverse("artists"), 1, window) if window > 0 else F.array().cast("array<string>"), F.col("__artist"))
+    stage = F.when(near & ~recent, 0).when(near, 1).otherwise(2)
+    score = scoring.transition(sides("now_"), sides())[strategy] * scoring.tempo_step_penalty(F.col("now_bpm"), F.col("bpm"))
+    score = score * F.when((F.col("__artist") != "") & F.array_contains("artists", F.col("__artist")), 0.35).otherwise(1.0)
+    best_pick = F.min_by(pick, F.struct(stage, -F.round(score, 9), -F.get("__fits", F.col("at")), *order)).alias("q")
     done = []
     while True:
         done.append(state.where("ended").select("__group", "picks"))
@@ -199,14 +208,7 @@ def phased_sets(tracks: DataFrame, group: str, minutes: float = 60, vibe: str =
             break
         last = state.select("__group", "at", "names", "artists", *[F.col(f"p.{c}").alias(f"now_{c}") for c in ("bpm", "genre", "key_camelot")])
         new = rows.join(F.broadcast(last) if few else last, rows["__group"].eqNullSafe(last["__group"])).drop(last["__group"]).where(~F.array_contains("names", F.col("__name")))
-        apart = scoring.wheel_distance(F.col("now_key_camelot"), F.col("key_camelot"))
-        in_key = (apart == 0) | ((apart == 1) & (scoring.wheel_mode(F.col("now_key_camelot")) == scoring.wheel_mode(F.col("key_camelot"))))
-        near = in_key & (F.abs(F.col("bpm") - F.col("now_bpm")) <= max_jump if max_jump > 0 else F.lit(True))
-        recent = (F.col("__artist") != "") & F.array_contains(F.slice(F.reverse("artists"), 1, window) if window > 0 else F.array().cast("array<string>"), F.col("__artist"))
-        stage = F.when(near & ~recent, 0).when(near, 1).otherwise(2)
-        score = scoring.transition(sides("now_"), sides())[strategy] * scoring.tempo_step_penalty(F.col("now_bpm"), F.col("bpm"))
-        score = score * F.when((F.col("__artist") != "") & F.array_contains("artists", F.col("__artist")), 0.35).otherwise(1.0)
-        best = new.groupBy("__group").agg(F.min_by(pick, F.struct(stage, -F.round(score, 9), -F.get("__fits", F.col("at")), *order)).alias("q")).withColumnRenamed("__group", "__of")
+        best = new.groupBy("__group").agg(best_pick).withColumnRenamed("__group", "__of")
         state = kept(advanced(state.join(F.broadcast(best) if few else best, F.col("__group").eqNullSafe(F.col("__of")), "left"), F.col("q")))
     sets = reduce(DataFrame.unionByName, done)
     return sets.select(F.col("__group").alias(group), F.posexplode("picks").alias("__at", "pick")).select(group, (F.col("__at") + 1).cast("int").alias("position"), "pick.phase", "pick.id")
