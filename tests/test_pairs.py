@@ -3,7 +3,19 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lakeshelf.operators import resolution
+from lakeshelf.operators import matching, resolution
+
+
+def test_a_frequent_key_is_dealt_into_many_tasks(spark, monkeypatch):
+    for name, value in {"BLOCK_PAIRS": 40, "TASK_PAIRS": 80}.items():
+        monkeypatch.setattr(resolution, name, value)
+    names = [(k, ("Ann", "Bo", "Annie", None)[0 if k < 40 else k % 4]) for k in range(60)]
+    df = spark.createDataFrame(names, "id long, name string")
+    got = matching.containing(df, df)
+    want = sorted((a, b) for a, x in names for b, y in names if x and y and (x.lower() in y.lower() or y.lower() in x.lower()))
+    assert sorted(map(tuple, got.collect())) == want
+    parts = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < len(want) / 2
 
 
 def test_equal_names_are_compared_once(spark, monkeypatch):
