@@ -27,3 +27,73 @@ def test_equal_names_are_compared_once(spark, monkeypatch):
     rows = resolution.fuzzy_renames(old, new).collect()
     assert sorted((r["old_id"], r["new_id"]) for r in rows) == [(a, b) for a in range(20) for b in range(30)]
     assert 0 < compared.value < 20  # two pairs of names at each reading, not 600 pairs of files
+
+
+#: Few names in many folders and sizes, often the old file's own path, in so many copies that all of one path would fill every list.
+MOVED = [(k, f"/{'ab'[k % 2]}/{('one two', 'one three', 'two', 'x')[k % 4]}.{('mp3', 'wav')[k % 3 % 2]}", (1000, 1001, 1050, None, 0)[k % 5 if k % 7 else 3]) for k in range(420)]
+FILE = "id long, filepath string, filesize_bytes long"
+
+
+def pairs_of(old, new):
+    """Brute force: (old_id, new_id, new_path, overlap, off, score) of all pairs of different paths."""
+    tokens = {p: {t for t in p.split("/")[-1].split(".")[0].split() if len(t) > 1} for _, p, _ in old + new}
+    for i, p, a in old:
+        for j, q, b in new:
+            if p != q:
+                overlap, same = len(tokens[p] & tokens[q]) / max(1, len(tokens[p])), p[-3:] == q[-3:]
+                off = abs(a - b) / a if a and b is not None else None
+                yield i, j, q, overlap, off, same, round(0.6 * overlap + 0.3 * max(0.0, 1 - (1.0 if off is None else off)) + (0.1 if same else 0.0), 6)
+
+
+def moved_brute(old, new):
+    rows = {}
+    for i, j, q, _, _, _, score in pairs_of(old, new):
+        if score > 0:
+            rows.setdefault(i, []).append((-score, q, j))
+    return sorted((i, j, -s, place) for i, found in rows.items() for place, (s, _, j) in enumerate(sorted(found)[:5], 1))
+
+
+def small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "OLD_BLOCK", 3)
+    monkeypatch.setattr(resolution, "NEW_BLOCK", 16)
+    old = MOVED[:60] + [(1000, "/b/one two.mp3", 1000)]
+    return old, MOVED, spark.createDataFrame(old, FILE), spark.createDataFrame(MOVED, FILE)
+
+
+def test_moved_files_of_many_copies(spark, monkeypatch):
+    old, new, o, n = small_blocks(spark, monkeypatch)
+    got = sorted((r["old_id"], r["new_id"], r["score"], r["place"]) for r in resolution.moved_candidates(o, n).collect())
+    assert got == moved_brute(old, new)
+
+
+def test_copies_are_compared_once(spark):
+    """6,000 old rows and 30,000 new ones of 20 and 40 kinds: before, all 180 million pairs were compared."""
+    compared = spark.sparkContext.accumulator(0)
+    name = "concat('/', id % 2, '/song ', 10 + id % 20, '.mp3')"
+    old, new = (spark.range(k).selectExpr("id", f"{name} AS filepath", "100L AS filesize_bytes") for k in (6000, 30_000))
+
+    def choose(overlap, off, same, score):
+        compared.add(len(overlap))
+        return (overlap == 1).nonzero()[0], [-score]
+
+    rows = resolution.block_matches(old, new, choose, 2, [-F.col("score")])
+    assert rows.count() == 0  # every name is in one folder only, so no other path has all its tokens
+    assert 0 < compared.value <= 20 * 40
+
+
+def test_best_overlaps_of_many_copies(spark, monkeypatch):
+    old, new, o, n = small_blocks(spark, monkeypatch)
+    best = {}
+    for i, _, _, overlap, _, same, _ in pairs_of(old, new):
+        if same and overlap > 0:
+            best[i] = max(best.get(i, 0), overlap)
+    assert {r["old_id"]: r["overlap"] for r in resolution.best_overlaps(o, n).collect()} == best
+
+
+def test_relocations_of_many_copies(spark, monkeypatch):
+    old, new, o, n = small_blocks(spark, monkeypatch)
+    best = {}
+    for i, j, _, overlap, off, same, _ in pairs_of(old, new):
+        if same and off is not None and off < 0.1 and overlap >= 0.7:
+            best[i] = min(best.get(i, (9, 9, 9)), (-overlap, off, j))
+    assert {r["old_id"]: r["new_id"] for r in resolution.relocations(o, n).collect()} == {i: j for i, (_, _, j) in best.items()}
