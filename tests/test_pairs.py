@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lakeshelf.operators import matching, resolution
+from lakeshelf.operators import audit, matching, resolution
 
 
 def test_a_frequent_key_is_dealt_into_many_tasks(spark, monkeypatch):
@@ -97,3 +97,16 @@ def test_relocations_of_many_copies(spark, monkeypatch):
         if same and off is not None and off < 0.1 and overlap >= 0.7:
             best[i] = min(best.get(i, (9, 9, 9)), (-overlap, off, j))
     assert {r["old_id"]: r["new_id"] for r in resolution.relocations(o, n).collect()} == {i: j for i, (_, _, j) in best.items()}
+
+
+def test_replacements_of_many_copies_are_judged_once(spark, monkeypatch):
+    judged = spark.sparkContext.accumulator(0)
+    one = F.pandas_udf(lambda a, b: (judged.add(len(a)), pd.Series([1.0] * len(a)))[1], "double")
+    monkeypatch.setattr(audit.text, "token_overlap", lambda a, b: one(a, b))
+    old = [(k, "s", "stale" if k == 3 else None, "/old/ann lee.mp3", 1000 + k % 2) for k in range(50)] + [(50, "s", "ok", "/n/0/ann lee.mp3", 1000), (51, "s", "ok", "/old/ann lee.wav", 1000), (8, "s", None, "/old/ann lee.mp3", 1004)]
+    new = [(f"/n/{k}/ann lee.mp3", (1001, 1004, 1020, None)[k % 4]) for k in range(80)] + [("/a/ann lee (remix).mp3", 1000)]
+    rows = audit.superseded(spark.createDataFrame(old, "id long, stage string, status string, filepath string, filesize_bytes long"), spark.createDataFrame(new, "filepath string, filesize_bytes long")).collect()
+    got = {r["id"]: (r["old_path"], r["replacement_path"]) for r in rows}
+    assert len(rows) == len(got)  # the exact size is best, of equal ones the least path; id 8 has two sizes, of which the second fits best
+    assert got == {k: ("/old/ann lee.mp3", "/n/1/ann lee.mp3" if k == 8 else "/n/0/ann lee.mp3") for k in range(50) if k != 3}
+    assert 0 < judged.value <= 40  # three sizes of one old name and two of a new one, at each reading, not thousands of pairs
