@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lakeshelf.operators import audit, matching, resolution
+from lakeshelf.plans import registry
 
 
 def test_a_frequent_key_is_dealt_into_many_tasks(spark, monkeypatch):
@@ -110,3 +111,12 @@ def test_replacements_of_many_copies_are_judged_once(spark, monkeypatch):
     assert len(rows) == len(got)  # the exact size is best, of equal ones the least path; id 8 has two sizes, of which the second fits best
     assert got == {k: ("/old/ann lee.mp3", "/n/1/ann lee.mp3" if k == 8 else "/n/0/ann lee.mp3") for k in range(50) if k != 3}
     assert 0 < judged.value <= 40  # three sizes of one old name and two of a new one, at each reading, not thousands of pairs
+
+
+def test_rules_run_in_many_tasks(spark):
+    """A small file is one task to its reader; neither a rule nor a filter by its result may stay in it."""
+    for name in ("tag_changes", "tag_change_counts", "top_labels", "checked_plan", "plan_reasons", "scored_parses", "candidate_tiers", "detected_labels"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning(16)" in plan, name
+        for below in plan.split("RoundRobinPartitioning")[1:]:
+            assert "regexp" not in below.split("FileScan")[0].lower() and "FileScan" in below, name
