@@ -1,8 +1,10 @@
 """Cue points against a plain walk over the bars, and awkward tracks."""
 
 import random
+import re
 
 from lakeshelf.operators import cues
+from lakeshelf.plans import registry, views
 
 
 def walked(rows):
@@ -65,3 +67,12 @@ def test_estimates_and_master(spark):
     ]
     master = sorted(cues.cue_master(found.unionByName(found), tracks).collect())
     assert [(r["id"], r["artist"], r["title"], r["bpm"], r["key"], sorted(r["cues"])) for r in master] == [(1, "Unknown", "b", 120.0, "8A", sorted(cues.TYPES)), (2, "Ann", "T", 0.0, "", ["intro_start", "mix_in", "outro_start"])]
+
+
+def test_tasks_grow_with_the_frames(spark, monkeypatch):
+    """60,000 frames in tasks of about 1,000, whatever the number of shuffle partitions; their bars and cues stay there."""
+    monkeypatch.setattr(views, "TASK_ROWS", 1000)
+    for name in ("bar_profiles", "cue_points", "cue_masters"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        parts = re.findall(r"hashpartitioning\((l_partkey|id)#\w+, (\d+)\)", plan)
+        assert ("l_partkey", "60") in parts and {n for _, n in parts} == {"60"}, (name, parts)
