@@ -90,25 +90,34 @@ def detected(tracks: DataFrame) -> DataFrame:
     in_file = named_in_file(text.stem(F.col("filepath")))
     tried = [F.struct(F.trim(F.coalesce(f, F.lit(""))).alias("value"), F.lit(s).alias("source"), F.lit(c).alias("confidence"), F.lit(a).alias("action"), F.lit(n).alias("shown")) for f, s, c, a, n in FIELDS]
     tried.append(parsing.bound(in_file, lambda x: F.struct(F.coalesce(x["label"], F.lit("")).alias("value"), F.lit("filename").alias("source"), F.coalesce(x["confidence"], F.lit(0.0)).alias("confidence"), F.lit("filled").alias("action"), F.lit(False).alias("shown"))))
+    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit("unresolved").alias("source"), F.lit(0.0).alias("confidence"), F.lit("unresolved").alias("action"), F.lit(False).alias("shown"))
 
     def judged(c: Column) -> Column:
-        return parsing.bound(junk_reason(c["value"]), lambda why: F.struct(c.alias("c"), ((c["value"] != "") & why.isNotNull()).alias("junk"), ((c["value"] != "") & why.isNull() & (~c["shown"] | c["value"].rlike(SHOWN))).alias("good")))
+        why = F.when(c["value"] != "", junk_reason(c["value"]))
+        return parsing.bound(why, lambda w: F.struct(w.isNotNull().alias("junk"), ((c["value"] != "") & w.isNull() & (~c["shown"] | c["value"].rlike(SHOWN))).alias("good")))
+
+    def answer(so_far: Column, c: Column) -> Column:
+        """What is known after one more value; after a good one no other is judged."""
+        step = parsing.bound(judged(c), lambda x: F.struct(F.when(x["good"], c).otherwise(so_far["c"]).alias("c"), (so_far["junk_count"] + x["junk"].cast("int")).alias("junk_count"), x["good"].alias("done")))
+        return F.when(so_far["done"], so_far).otherwise(step)
+
+    start = F.struct(none.alias("c"), F.lit(0).alias("junk_count"), F.lit(False).alias("done"))
+    rows = tracks.select("id", F.aggregate(F.array(*tried), start, answer).alias("x"))
+    named = F.struct(F.col("x.c.value").alias("label"), label_key(F.col("x.c.value")).alias("key"), "x.c.source", "x.c.confidence", "x.c.action", "x.junk_count")
+    rows = rows.select("id", F.inline(F.array(named)))  # as generated rows, so that no filter by a result runs the rules again
+    return rows.withColumn("writable", F.col("label").isNotNull() & (F.col("confidence") >= WRITABLE))
 
-    def answer(all_: Column) -> Column:
-        first = F.array_position(F.transform(all_, lambda x: x["good"]), F.lit(True)).cast("int")
-        none = F.struct(F.lit(None).cast("string").alias("value"), F.lit("unresolved").alias("source"), F.lit(0.0).alias("confidence"), F.lit("unresolved").alias("action"), F.lit(False).alias("shown"))
-        return parsing.bound(first, lambda k: F.struct(F.when(k > 0, F.get(all_, k - 1)["c"]).otherwise(none).alias("c"), F.size(F.filter(F.slice(all_, 1, F.when(k > 0, k - 1).otherwise(F.size(all_))), lambda x: x["junk"])).alias("junk_count")))
 
-    rows = tracks.select("id", parsing.bound(F.transform(F.array(*tried), judged), answer).alias("x"))
-    rows = rows.select("id", F.col("x.c.value").alias("label"), label_key(F.col("x.c.value")).alias("key"), "x.c.source", "x.c.confidence", "x.c.action", "x.junk_count")
-    return rows.withColumn("writable", F.col("label").isNotNull() & (F.col("confidence") >= WRITABLE))
+def spelled(found: DataFrame, *keys: Column) -> DataFrame:
+    """(key, keys, canonical, n_spellings, n): of each key's labels one that isn't all capitals, then the longest, then that of the smallest id; n counts rows."""
+    each = found.groupBy("key", "label").agg(F.min("id").alias("first"), F.count("label").alias("n")).where("n > 0")
+    shouted = (F.upper("label") == F.col("label")) & F.col("label").rlike(r"\p{Lu}")
+    return each.groupBy("key", *keys).agg(F.max_by("label", F.struct(~shouted, F.length("label"), -F.col("first"))).alias("canonical"), F.count("*").alias("n_spellings"), F.sum("n").alias("n"))
 
 
 def spellings(found: DataFrame) -> DataFrame:
-    """(key, canonical, n_spellings): of each label's spellings one that isn't all capitals, then the longest, then that of the smallest id."""
-    each = found.where("label IS NOT NULL AND key <> ''").groupBy("key", "label").agg(F.min("id").alias("first"))
-    shouted = (F.upper("label") == F.col("label")) & F.col("label").rlike(r"\p{Lu}")
-    return each.groupBy("key").agg(F.max_by("label", F.struct(~shouted, F.length("label"), -F.col("first"))).alias("canonical"), F.count("*").alias("n_spellings"))
+    """(key, canonical, n_spellings): the spelling of each label that the whole corpus prefers."""
+    return spelled(found).where("key <> ''").drop("n")
 
 
 def with_canonical(found: DataFrame) -> DataFrame:
@@ -125,5 +134,6 @@ def label_summary(found: DataFrame) -> DataFrame:
 
 
 def top_labels(found: DataFrame, k: int = 15) -> DataFrame:
-    """(canonical, n) of the k labels of the most tracks; ties by name. found: with canonical."""
-    return found.where("canonical IS NOT NULL").groupBy("canonical").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "canonical").limit(k)
+    """(canonical, n) of the k labels of the most tracks; ties by name. found, as `detected` gives it, is read once."""
+    alone = F.when(F.col("key") == "", F.col("label")).alias("__alone")  # labels of ending words only keep their own spelling
+    return spelled(found, alone).select("canonical", "n").orderBy(F.desc("n"), "canonical").limit(k)

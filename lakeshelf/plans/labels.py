@@ -50,4 +50,4 @@ def label_summary(spark, sf_dir):
 
 @query(f"{FOUND} SELECT canonical, count(*) AS n FROM named WHERE canonical IS NOT NULL GROUP BY 1 ORDER BY n DESC, canonical LIMIT 15", "labelled")
 def top_labels(spark, sf_dir):
-    return labels.top_labels(labels.with_canonical(found(spark, sf_dir)))
+    return labels.top_labels(found(spark, sf_dir))

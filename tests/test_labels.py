@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakeshelf.functions import text
 from lakeshelf.operators import labels
+from lakeshelf.plans import registry
 
 FIELDS = "id long, filepath string, organization string, grouping string, comment string, albumartist string, album string"
 
@@ -56,3 +57,16 @@ def test_one_spelling_for_the_corpus(spark):
     assert got == ["defected records"] * 4 + ["DEEP MUSIC", "Records", "DEEP MUSIC"]
     assert {r["key"]: r["n_spellings"] for r in labels.spellings(found).collect()} == {"defected": 4, "deep": 2}
     assert labels.label_summary(found.where("id < 0")).first()["total"] == 0
+
+
+def test_labels_are_counted_in_one_pass(spark):
+    """Rules run once a row for the counts and once for each use of the rows, however results are filtered."""
+    for name, uses in (("top_labels", 1), ("detected_labels", 2), ("label_summary", 1)):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("source junk (") == uses, name
+    names = ["Deep", "DEEP MUSIC", "Deep Music", "Records", "Music", "Music", "va", None]
+    found = labels.detected(spark.createDataFrame([(k, "/x.mp3", v, None, None, None, None) for k, v in enumerate(names)], FIELDS))
+    assert [tuple(r) for r in labels.top_labels(found, 3).collect()] == [("Deep Music", 3), ("Music", 2), ("Records", 1)]
+    track = spark.createDataFrame([(1, "/x.mp3", "Defected", "Other", "a", "b", "c")], FIELDS)
+    plan = labels.detected(track).where("writable AND label <> 'x' AND key <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("source junk (") == 1
