@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lakeshelf.functions import text
 from lakeshelf.operators import audit, matching, resolution
 from lakeshelf.plans import registry
 
@@ -120,3 +121,16 @@ def test_rules_run_in_many_tasks(spark):
         assert "RoundRobinPartitioning(16)" in plan, name
         for below in plan.split("RoundRobinPartitioning")[1:]:
             assert "regexp" not in below.split("FileScan")[0].lower() and "FileScan" in below, name
+
+
+def test_names_of_a_pair_are_judged_once(spark):
+    for name in ("candidate_tiers", "tier_counts", "action_counts"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"\bre[\s-]*edit\b") == 2, name  # the old and the new name, whatever reads what is found
+
+
+def test_words_are_those_of_the_compared_name(spark):
+    names = ["Ann - Night", "Ann  (2) - Night (3)\n", "Night - 8A - 128", "Night - 128 - 8a ", "x.y é_z", "(1)", " - ", "", None, "A\tB--c.mp3", "(4) (5)"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(text.audit_words(F.col("n")).alias("words"), F.filter(F.split(text.audit_name(F.concat("n", F.lit(".x"))), " "), lambda w: w != "").alias("want"))
+    got = rows.collect()
+    assert [r["words"] for r in got] == [r["want"] for r in got] and got[0]["words"] == ["ann", "night"] and got[2]["words"] == ["night"] and got[8]["words"] is None
