@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lakeshelf.functions import audit as audit_rules
 from lakeshelf.functions import text
 from lakeshelf.operators import audit, matching, resolution
 from lakeshelf.plans import registry
@@ -124,7 +125,7 @@ def test_rules_run_in_many_tasks(spark):
 
 
 def test_names_of_a_pair_are_judged_once(spark):
-    for name in ("candidate_tiers", "tier_counts", "action_counts"):
+    for name in ("checked_plan", "plan_reasons", "candidate_tiers", "tier_counts", "action_counts"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(r"\bre[\s-]*edit\b") == 2, name  # the old and the new name, whatever reads what is found
 
@@ -134,3 +135,11 @@ def test_words_are_those_of_the_compared_name(spark):
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(text.audit_words(F.col("n")).alias("words"), F.filter(F.split(text.audit_name(F.concat("n", F.lit(".x"))), " "), lambda w: w != "").alias("want"))
     got = rows.collect()
     assert [r["words"] for r in got] == [r["want"] for r in got] and got[0]["words"] == ["ann", "night"] and got[2]["words"] == ["night"] and got[8]["words"] is None
+
+
+def test_a_weak_place_is_weak_without_its_names(spark):
+    rows = spark.createDataFrame([(s, o, f, k) for s in (None, 0.5, 0.8, 0.96) for o in (None, 0.5, 1.0) for f in (None, 0.001, 0.5) for k in (None, True, False)], "s double, o double, f double, k boolean")
+    sure = audit_rules.is_sure(F.col("s"), F.col("o"), F.col("f"), F.col("k"))
+    for new in ("/n/a.mp3", "/n/a dub.mp3"):
+        tier = audit_rules.tier(F.col("s"), F.col("o"), F.col("f"), F.col("k"), F.lit("/o/a.mp3"), F.lit(new))
+        assert rows.where((tier == audit_rules.TIERS[2]) != audit_rules.is_weak(sure, F.col("s"))).count() == 0 < rows.where(tier == audit_rules.TIERS[2]).count()
