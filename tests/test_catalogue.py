@@ -204,6 +204,14 @@ def test_parsers_bind_each_step_once(spark, name):
     assert plan.count("regexp_replace") < 60
 
 
+def test_only_digits_are_cast_to_track_numbers(spark):
+    cases = {"01 - Night": 1, "003_Night": 3, "9999. Night": 9999, "12345 - Night": None, "Night 7": None, "128": None, "": None, None: None}
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(cases)], "k int, v string").select("k", parsing.track_number(F.col("v")).alias("n"))
+    assert [r["n"] for r in rows.orderBy("k").collect()] == list(cases.values())
+    for name in ("scored_parses", "parsed_stems", "name_prefixes"):
+        assert "try" not in registry.QUERIES[name](spark, DATA)._jdf.queryExecution().analyzed().toString().lower(), name
+
+
 def test_moved_files_need_no_common_word(spark):
     old = spark.createDataFrame([(1, "/a/cold night.mp3", 1000), (2, "/a/(1).wav", None)], "id long, filepath string, filesize_bytes long")
     new = spark.createDataFrame([(10, "/b/day.mp3", 1000), (11, "/b/night sun.mp3", 9), (12, "/b/z.flac", 500), (13, "/b/y.flac", 0)], "id long, filepath string, filesize_bytes long")
