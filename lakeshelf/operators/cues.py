@@ -45,6 +45,14 @@ def bar_profile(frames: DataFrame, tracks: DataFrame, hop: float = 0.1, smooth:
     between two frames 0.
     Shares are rounded to 6 digits. Tracks without a duration or with too few frames to average have no bars.
     """
+    return bar_runs(frames, tracks, hop, smooth).select("id", F.explode(F.sequence("bar", "until")).alias("bar"), *FEATURES)
+
+
+def bar_runs(frames: DataFrame, tracks: DataFrame, hop: float = 0.1, smooth: float = 4.0) -> DataFrame:
+    """(id, bar, until, level, bass, flux): the bars of `bar_profile`, where all beyond the last frame but the first and the last are one row.
+
+    However long a track is, it has no more rows than frames, bars between frames, and three.
+    """
     width = max(1, int(smooth / hop + 1e-9))
     even = held_average(frames.select("id", "frame", *FEATURES), "id", "frame", {"level": width, "bass": width, "flux": max(1, width // 2)})
     long = bar_seconds(F.col("bpm"))
@@ -54,53 +62,67 @@ def bar_profile(frames: DataFrame, tracks: DataFrame, hop: float = 0.1, smooth:
     whole = Window.partitionBy("id")
     last = F.col("frame") == F.max("frame").over(whole)
     timed = timed.withColumn("__bar", bar).withColumns({"__last": last, "__after": F.coalesce(F.lag("__bar").over(whole.orderBy("frame")), F.lit(-1))})
-    own = F.sequence("__bar", F.when(F.col("__last"), F.col("__bars") - 1).otherwise(F.col("__bar")))
-    skipped = F.when(F.col("__bar") > F.col("__after") + 1, F.sequence(F.col("__after") + 1, F.col("__bar") - 1)).otherwise(F.array().cast("array<int>"))
-    held = timed.withColumn("bar", F.explode(F.concat(skipped, own)))
-    means = held.groupBy("id", "bar").agg(*[F.coalesce(F.avg(F.when(F.col("bar") >= F.col("__bar"), F.col(c))), F.lit(0.0)).alias(c) for c in FEATURES])
+
+    def run(first: Column, until: Column, held: bool = True) -> Column:
+        return F.struct(first.alias("bar"), until.alias("until"), F.lit(held).alias("held"))
+
+    own, end = F.col("__bar"), F.col("__bars") - 1
+    skipped = F.when(own > F.col("__after") + 1, F.sequence(F.col("__after") + 1, own - 1)).otherwise(F.array().cast("array<int>"))
+    beyond = F.array(run(own + 1, F.least(own + 1, end)), run(own + 2, end - 1), run(F.greatest(own + 2, end), end))
+    beyond = F.filter(beyond, lambda r: F.col("__last") & (r["bar"] <= r["until"]))
+    runs = timed.select("id", *FEATURES, F.inline(F.concat(F.transform(skipped, lambda b: run(b, b, False)), F.array(run(own, own)), beyond)))
+    means = runs.groupBy("id", "bar", "until").agg(*[F.coalesce(F.avg(F.when(F.col("held"), F.col(c))), F.lit(0.0)).alias(c) for c in FEATURES])
     peak = {c: F.max(c).over(Window.partitionBy("id")) for c in FEATURES}
-    return means.select("id", "bar", *[F.when(peak[c] > 1e-9, F.round(F.col(c) / peak[c], 6)).otherwise(0.0).alias(c) for c in FEATURES])
+    return means.select("id", "bar", "until", *[F.when(peak[c] > 1e-9, F.round(F.col(c) / peak[c], 6)).otherwise(0.0).alias(c) for c in FEATURES])
 
 
 def marks(profile: DataFrame) -> DataFrame:
     """One row a track of at least four bars: the bar of each cue with its values, or null.
 
-    All is found by windows and one aggregate over the same partitioning: the profile is shuffled once.
+    profile: as `bar_profile` or `bar_runs` gives it. Of a row of several bars the first that a search may take stands for all,
+    since they and the bars around them have the same values. All is found by windows and one aggregate over the same
+    partitioning: the profile is shuffled once.
     """
+    if "until" not in profile.columns:
+        profile = profile.withColumn("until", F.col("bar"))
     whole = Window.partitionBy("id")
     order = whole.orderBy("bar")
-    level, bass, bar, n = (F.col(c) for c in ("level", "bass", "bar", "n"))
+    level, bass, bar, until, n = (F.col(c) for c in ("level", "bass", "bar", "until", "n"))
+    bars, following = until - bar + 1, order.rowsBetween(0, Window.unboundedFollowing)
     rows = profile.withColumns({
-        "n": F.count("*").over(whole), "next_level": F.lead("level").over(order), "next_bass": F.lead("bass").over(order), "jump": F.greatest(F.lit(0.0), F.round(bass - F.coalesce(F.lag("bass").over(order), F.lit(0.0)), 6)),
-        "rest": F.round(F.avg("level").over(order.rowsBetween(0, Window.unboundedFollowing)), 9),
-        "dipped": F.coalesce(F.min(F.when(bar >= DROP_FROM, level)).over(order.rowsBetween(Window.unboundedPreceding, 0)) < DIP_BELOW, F.lit(False)),
+        "n": F.sum(bars).over(whole), "next_level": F.lead("level").over(order), "next_bass": F.lead("bass").over(order), "jump": F.greatest(F.lit(0.0), F.round(bass - F.coalesce(F.lag("bass").over(order), F.lit(0.0)), 6)),
+        "rest": F.round(F.sum(level * bars).over(following) / F.sum(bars).over(following), 9),
+        "dipped": F.coalesce(F.min(F.when(until >= DROP_FROM, level)).over(order.rowsBetween(Window.unboundedPreceding, 0)) < DIP_BELOW, F.lit(False)),
     }).where("n >= 4")
-    at = F.struct("bar", "level", "bass", "flux", "jump", "next_level", "dipped")
 
-    def first(test: Column) -> Column:
-        return F.min(F.when(test, at))
+    def least(by: list[Column], values: list[str], low: Column, below: Column, test: Column) -> Column:
+        """The least (by, bar, values) of the bars from low to below that pass the test."""
+        at = F.greatest(bar, low.cast("int"))
+        return F.min(F.when((at <= until) & (at < below) & test, F.struct(*by, at.alias("bar"), *values)))
+
+    def first(low: Column, below: Column, test: Column) -> Column:
+        return least([], ["level", "bass", "flux", "jump", "next_level", "dipped"], low, below, test)
 
     novelty = F.round(0.6 * F.col("flux") + 0.4 * F.col("jump"), 9)
-    searched = (bar >= DROP_FROM) & (bar < F.greatest(F.lit(DROP_FROM + 2), F.floor(n * 0.75)))
-    mixed = first((bar >= 2) & (bar < F.floor(n * 0.45) + 2) & (level >= MIX_LEVEL) & (bass >= MIX_BASS))
-    dropped = first(searched & F.col("dipped") & (novelty > DROP_NOVELTY) & (level > DROP_LEVEL))
-    newest = F.min(F.when(searched & (level > PEAK_LEVEL), F.struct((-novelty).alias("by"), at.alias("at"))))
+    searched = (F.lit(DROP_FROM), F.greatest(F.lit(DROP_FROM + 2), F.floor(n * 0.75)))
+    mixed = first(F.lit(2), F.floor(n * 0.45) + 2, (level >= MIX_LEVEL) & (bass >= MIX_BASS))
+    dropped = first(*searched, F.col("dipped") & (novelty > DROP_NOVELTY) & (level > DROP_LEVEL))
+    newest = least([(-novelty).alias("by")], ["level", "bass", "flux", "jump", "next_level", "dipped"], *searched, level > PEAK_LEVEL)
     rows = rows.withColumns({
-        "mix": F.coalesce(mixed.over(whole), first((bar >= 2) & (level >= MIX_LEVEL)).over(whole)),
-        "drop": F.coalesce(dropped.over(whole), newest.over(whole)["at"]), "any_dip": F.coalesce(F.min(F.when(searched, level)).over(whole) < DIP_BELOW, F.lit(False)), "found_drop": dropped.over(whole).isNotNull(),
+        "mix": F.coalesce(mixed.over(whole), first(F.lit(2), n, level >= MIX_LEVEL).over(whole)), "found_drop": dropped.over(whole), "newest": newest.over(whole),
+        "any_dip": F.coalesce(least([level], [], *searched, F.lit(True)).over(whole)["level"] < DIP_BELOW, F.lit(False)),
     })
+    rows = rows.withColumns({"drop": F.coalesce("found_drop", F.col("newest").dropFields("by")), "found_drop": F.col("found_drop").isNotNull()}).drop("newest")
     start = F.coalesce(F.col("mix.bar"), F.lit(2))
-    loud = (bar >= start) & (level >= GROOVE_LEVEL) & (F.col("next_level") >= GROOVE_LEVEL)
+    loud = (level >= GROOVE_LEVEL) & (F.col("next_level") >= GROOVE_LEVEL)
     low_from = F.coalesce(F.col("drop.bar") + 4, F.floor(n / 3))
-    valley = (bar >= low_from) & (bar < F.greatest(low_from + 4, F.floor(n * 0.85))) & (low_from < n - 4)
     end_from = F.greatest(F.lit(1), F.floor(n * END_FROM))
-    quiet, ended = F.struct("level", "bar", "bass"), F.struct("bar", "bass")
-    at_end = F.min(F.when(bar >= end_from, F.struct("level", "bar", ended.alias("ended"))))
+    at_end = least([level], ["bass"], end_from, n, F.lit(True))
     return rows.groupBy("id").agg(
         F.max("n").alias("n"), F.max("mix").alias("mix"), F.max("drop").alias("drop"), F.max(F.when(F.col("found_drop"), True).otherwise(F.col("any_dip"))).alias("had_dip"),
-        F.coalesce(first(loud & (bass >= GROOVE_BASS) & (F.col("next_bass") >= GROOVE_BASS)), first(loud)).alias("groove"),
-        F.min(F.when(valley, quiet)).alias("valley"),
-        F.coalesce(F.min(F.when((bar >= end_from) & (level < END_BELOW) & (bar < n - 1) & (F.col("rest") < END_BELOW), ended)), at_end["ended"]).alias("end"),
+        F.coalesce(first(start, n, loud & (bass >= GROOVE_BASS) & (F.col("next_bass") >= GROOVE_BASS)), first(start, n, loud)).alias("groove"),
+        least([level], ["bass"], low_from, F.greatest(low_from + 4, F.floor(n * 0.85)), low_from < n - 4).alias("valley"),
+        F.coalesce(least([], ["bass"], end_from, n - 1, (level < END_BELOW) & (F.col("rest") < END_BELOW)), F.struct(at_end["bar"].alias("bar"), at_end["bass"].alias("bass"))).alias("end"),
     )
 
 
@@ -141,7 +163,7 @@ def cue_points(profile: DataFrame, tracks: DataFrame) -> DataFrame:
     """(id, cue_type, time_sec, bar, confidence, source): up to six cues for each track with a duration; bars from 1.
 
     Tracks whose profile has fewer than four bars, or none, get estimates. Tracks without a tempo count as 128, those
-    without a duration have no cues. tracks has one row an id: (id, bpm, duration_sec).
+    without a duration have no cues. tracks has one row an id: (id, bpm, duration_sec); profile is as `marks` takes it.
     """
     rows = tracks.where("duration_sec > 0").select("id", bar_seconds(F.col("bpm")).alias("long"), "duration_sec").join(marks(profile), "id", "left")
     cues = F.when(F.col("n").isNotNull(), scored(rows)).otherwise(estimated(F.col("duration_sec"), F.col("long")))

@@ -9,7 +9,7 @@ from lakeshelf.plans.catalogue import query, tracks
 from lakeshelf.plans.views import view
 
 HOP, SMOOTH = 1.0, 4.0
-SONGS = "s AS (SELECT id, bpm, least(duration_sec, 40e0) AS duration_sec FROM v_tracks WHERE duration_sec > 0), l AS (SELECT id, bpm, duration_sec, CASE WHEN bpm > 0 THEN 240e0 / bpm ELSE 240e0 / 128e0 END AS long FROM s)"
+SONGS = "s AS (SELECT id, bpm, duration_sec FROM v_tracks WHERE duration_sec > 0), l AS (SELECT id, bpm, duration_sec, CASE WHEN bpm > 0 THEN 240e0 / bpm ELSE 240e0 / 128e0 END AS long FROM s)"
 
 
 def mean(name: str, width: int) -> str:
@@ -51,21 +51,18 @@ CUES = f"""+ {PROFILE}, q AS (SELECT *, count(*) OVER w AS n, lead(level) OVER o
 
 
 def songs(spark, sf_dir):
-    return tracks(spark, sf_dir).where("duration_sec > 0").selectExpr("id", "bpm", "least(duration_sec, 40.0D) AS duration_sec")
-
-
-def profile(spark, sf_dir):
-    return cues.bar_profile(view(spark, sf_dir, "frames"), songs(spark, sf_dir), HOP, SMOOTH)
+    return tracks(spark, sf_dir).where("duration_sec > 0").select("id", "bpm", "duration_sec")
 
 
 @query(f"+ {PROFILE} SELECT id, bar, level, bass, flux FROM p", "tracks", "frames")
 def bar_profiles(spark, sf_dir):
-    return profile(spark, sf_dir)
+    return cues.bar_profile(view(spark, sf_dir, "frames"), songs(spark, sf_dir), HOP, SMOOTH)
 
 
 @query(f"{CUES} SELECT * FROM cues", "tracks", "frames")
 def cue_points(spark, sf_dir):
-    return cues.cue_points(profile(spark, sf_dir), songs(spark, sf_dir))
+    rows = songs(spark, sf_dir)
+    return cues.cue_points(cues.bar_runs(view(spark, sf_dir, "frames"), rows, HOP, SMOOTH), rows)
 
 
 @query(f"""{CUES} SELECT t.id, coalesce(nullif(artist, ''), 'Unknown') AS artist, coalesce(nullif(title, ''), regexp_extract(filepath, '([^/]*?)(?:\\.[^./]*)?$', 1)) AS title, round(coalesce(bpm, 0), 2) AS bpm, coalesce(key_camelot, '') AS key, round(coalesce(duration_sec, 0), 1) AS duration_sec,

@@ -1,8 +1,11 @@
 """Cue points against a plain walk over the bars, and awkward tracks."""
 
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lakeshelf.operators import cues
 from lakeshelf.plans import registry, views
 
@@ -76,3 +79,33 @@ def test_tasks_grow_with_the_frames(spark, monkeypatch):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
         parts = re.findall(r"hashpartitioning\((l_partkey|id)#\w+, (\d+)\)", plan)
         assert ("l_partkey", "60") in parts and {n for _, n in parts} == {"60"}, (name, parts)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def long_tracks(spark):
+    """{id: (bars, seconds of a bar)} of the tracks of over 40 seconds that have frames enough."""
+    rows = views.view(spark, SMALL, "tracks").where("duration_sec > 40").join(views.view(spark, SMALL, "frames").groupBy("id").count().where("count >= 4"), "id").collect()
+    long = {r["id"]: 240.0 / (r["bpm"] or 128.0) for r in rows}
+    return {r["id"]: (math.ceil(round(r["duration_sec"] / long[r["id"]] - 0.5, 9)), long[r["id"]]) for r in rows}
+
+
+def test_profiles_cover_whole_tracks(spark):
+    """Before, durations were cut at 40 seconds."""
+    bars = {r["id"]: (r["n"], r["last"] + 1) for r in registry.QUERIES["bar_profiles"](spark, SMALL).groupBy("id").agg(F.count("*").alias("n"), F.max("bar").alias("last")).collect()}
+    want = {k: (n, n) for k, (n, _) in long_tracks(spark).items() if n > 0}
+    assert want and {k: v for k, v in bars.items() if k in want} == want
+
+
+def test_runs_of_equal_bars_give_the_same_cues(spark):
+    """Frames of the first bars only, then all kinds of ends: no bar, a few and many beyond the last frame."""
+    numbers = random.Random(4)
+    songs = [(k, numbers.choice([None, 0.0, 20.0, 60.0, 128.0, 300.0]), numbers.choice([0.5, 4.0, 9.0, 17.0, 33.0, 120.0, 500.0])) for k in range(200)]
+    frames = [(k, i, *(round(min(1.0, max(0.0, numbers.gauss(0.45, 0.35))), 2) for _ in range(3))) for k, _, _ in songs for i in range(numbers.randint(1, 40))]
+    frames = spark.createDataFrame(frames, "id int, frame int, level double, bass double, flux double")
+    tracks = spark.createDataFrame(songs, "id int, bpm double, duration_sec double")
+    runs, profile = (f(frames, tracks, 1.0, 2.0) for f in (cues.bar_runs, cues.bar_profile))
+    assert runs.groupBy("id").count().agg(F.max("count")).first()[0] <= 100 < 600 < profile.groupBy("id").count().agg(F.max("count")).first()[0]
+    got, want = (sorted(map(tuple, cues.cue_points(p, tracks).collect())) for p in (runs, profile))
+    assert got == want and len({c for _, c, _, _, _, s in got if s == "energy_analysis"}) == 6
