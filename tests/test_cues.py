@@ -109,3 +109,13 @@ def test_runs_of_equal_bars_give_the_same_cues(spark):
     assert runs.groupBy("id").count().agg(F.max("count")).first()[0] <= 100 < 600 < profile.groupBy("id").count().agg(F.max("count")).first()[0]
     got, want = (sorted(map(tuple, cues.cue_points(p, tracks).collect())) for p in (runs, profile))
     assert got == want and len({c for _, c, _, _, _, s in got if s == "energy_analysis"}) == 6
+
+
+def test_cues_lie_in_whole_tracks(spark):
+    """Before, no cue lay beyond 40 seconds."""
+    long = long_tracks(spark)
+    ends = {r["id"]: r["time_sec"] for r in registry.QUERIES["cue_points"](spark, SMALL).where("cue_type = 'outro_start'").collect()}
+    assert len(long) > 100
+    for k, (n, seconds) in long.items():
+        if n >= 8:
+            assert math.floor(n * 0.78) * seconds - 0.01 <= ends[k] < n * seconds, k
