@@ -119,3 +119,10 @@ def test_cues_lie_in_whole_tracks(spark):
     for k, (n, seconds) in long.items():
         if n >= 8:
             assert math.floor(n * 0.78) * seconds - 0.01 <= ends[k] < n * seconds, k
+
+
+def test_masters_list_the_cues_of_whole_tracks(spark):
+    """Before, the last bars of a list were those of the first 40 seconds."""
+    bars = {k: n for k, (n, _) in long_tracks(spark).items() if n >= 8}
+    ends = {r["id"]: int(re.search(r"outro_start@(\d+)", r["found"])[1]) for r in registry.QUERIES["cue_masters"](spark, SMALL).collect() if r["id"] in bars}
+    assert set(ends) == set(bars) and all(math.floor(n * 0.78) < ends[k] <= n for k, n in bars.items())
