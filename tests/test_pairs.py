@@ -143,3 +143,20 @@ def test_a_weak_place_is_weak_without_its_names(spark):
     for new in ("/n/a.mp3", "/n/a dub.mp3"):
         tier = audit_rules.tier(F.col("s"), F.col("o"), F.col("f"), F.col("k"), F.lit("/o/a.mp3"), F.lit(new))
         assert rows.where((tier == audit_rules.TIERS[2]) != audit_rules.is_weak(sure, F.col("s"))).count() == 0 < rows.where(tier == audit_rules.TIERS[2]).count()
+
+
+def test_every_file_is_sought(spark):
+    """Before, only every twentieth was."""
+    rows = registry.QUERIES["relocation_best"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r["old_id"] % 20 for r in rows}) > 10
+
+
+def test_relocations_across_classes_of_size(spark, monkeypatch):
+    old, new, _, _ = small_blocks(spark, monkeypatch)
+    old, new = ([(i, p, None if s is None else s * (100 + i * 7 % 41) // 100) for i, p, s in rows] for rows in (old, new))
+    best = {}
+    for i, j, _, overlap, off, same, _ in pairs_of(old, new):
+        if same and off is not None and off < 0.1 and overlap >= 0.7:
+            best[i] = min(best.get(i, (9, 9, 9)), (-overlap, off, j))
+    found = resolution.relocations(spark.createDataFrame(old, FILE), spark.createDataFrame(new, FILE))
+    assert {r["old_id"]: r["new_id"] for r in found.collect()} == {i: j for i, (_, _, j) in best.items()} and len(best) > 5
