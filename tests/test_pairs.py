@@ -147,8 +147,9 @@ def test_a_weak_place_is_weak_without_its_names(spark):
 
 def test_every_file_is_sought(spark):
     """Before, only every twentieth was."""
-    rows = registry.QUERIES["relocation_best"](spark, "/root/testdata/sf0.01").collect()
-    assert len({r["old_id"] % 20 for r in rows}) > 10
+    for name in ("relocation_best", "rename_fuzzy"):
+        rows = registry.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+        assert len({r["old_id"] % 20 for r in rows}) > 10, name
 
 
 def test_relocations_across_classes_of_size(spark, monkeypatch):
