@@ -212,3 +212,23 @@ def test_packed_signatures(first, step):
     kept = np.where(size == 0, before, before & (2**48 - 1))
     assert sorted(got) == sorted(zip(want, doc, size, kept, strict=True))
     assert step > 3 or data < 16 * len(doc)
+
+
+def test_texts_of_a_large_cluster_are_shuffled_a_few_times(spark, monkeypatch):
+    """Before, each of 200 documents went to 50 blocks of the other side: copies grew with the square of a cluster."""
+    for name, value in {"BLOCK": 8, "SIDES": 2}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows, by_group = spark.sparkContext.accumulator(0), ngram_join.by_group
+
+    def counted(batches, keys):
+        for group in by_group(batches, keys):
+            rows.add(group.num_rows)
+            yield group
+
+    monkeypatch.setattr(ngram_join, "by_group", counted)
+    texts = [" ".join(f"w{k // 4}x{i}" for i in range(30)) + f" end{k % 2}" for k in range(200)]  # 50 groups of four that link
+    members = spark.createDataFrame([(7, k, t) for k, t in enumerate(texts)], "cluster long, doc_id long, text string")
+    found = ngram_join.compared_outsiders(members, spark.createDataFrame([(0, 0), (1, 0)], "u long, label long"))
+    edges = {tuple(sorted(r)) for r in found.collect()}
+    assert edges == {(a, b) for k in range(0, 200, 4) for a in range(k, k + 4) for b in range(a + 1, k + 4) if 1 not in (a, b)}
+    assert 0 < rows.value < 1000
